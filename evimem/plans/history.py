@@ -25,7 +25,7 @@ def p5_attributes(spark: SparkSession, folder: str) -> DataFrame:
 
 P5_ATTRIBUTES = """
 with v as (select distinct memory_id, version_id, content, state, system_from, coalesce(valid_from, system_from) as start from memory_versions),
-m as (select memory_id, last_retrieved_at as at_time, content, state, row_number() over (partition by memory_id order by start desc, system_from desc, version_id desc) as rn
+m as (select memory_id, v.content, v.state, row_number() over (partition by memory_id order by start desc, system_from desc, version_id desc) as rn
       from v join memories on memories.id = v.memory_id where system_from <= last_retrieved_at and start <= last_retrieved_at)
 select id as memory_id, last_retrieved_at as "at", content, state
 from (select id, last_retrieved_at from memories where last_retrieved_at is not null) e
