@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from evimem.session import partitions_for, written
 
 #: Clusters of a digest; a cluster around quantile q holds about 2 * pi / DELTA * sqrt(q * (1 - q)) of the values.
-DELTA = 500
+DELTA = 1000
 #: Stated bound of the rank error, as a share of the values; the second pass holds every result against it.
 BOUND = 0.01
 LEVELS = (0.5, 0.9, 0.95, 0.99)
@@ -23,39 +23,43 @@ CHUNK = 500_000
 #: Most groups whose estimates are broadcast to the counting pass; beyond, a salted join.
 SMALL_GROUPS = 20_000
 
-_BODY = "metric string, n double, low double, high double, means array<double>, weights array<double>"
+_PARTS = ("means", "lows", "highs", "weights")
+_BODY = "n double, " + ", ".join(f"{p} array<double>" for p in _PARTS)
 
 
-def clustered(codes: np.ndarray, means: np.ndarray, weights: np.ndarray, delta: int = DELTA) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Centroids of many groups at once: codes, means and weights after clustering neighbours by the arcsine size function."""
+def clustered(codes: np.ndarray, means: np.ndarray, lows: np.ndarray, highs: np.ndarray, weights: np.ndarray, delta: int = DELTA) -> list[np.ndarray]:
+    """Centroids of many groups at once, after clustering neighbours by the arcsine size function; parts as given."""
     order = np.lexsort((means, codes))
-    codes, means, weights = codes[order], means[order], weights[order]
+    codes, means, lows, highs, weights = (x[order] for x in (codes, means, lows, highs, weights))
+
+    def gather(begin: np.ndarray) -> None:
+        nonlocal codes, means, lows, highs, weights
+        at = np.flatnonzero(begin)
+        w, lo, hi = np.add.reduceat(weights, at), np.minimum.reduceat(lows, at), np.maximum.reduceat(highs, at)
+        codes, means, lows, highs, weights = codes[at], np.clip(np.add.reduceat(weights * means, at) / w, lo, hi), lo, hi, w
+
+    # equal values first: a mass of them is one centroid of its own
+    gather(np.r_[True, (codes[1:] != codes[:-1]) | (means[1:] != means[:-1])])
     first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-    total = np.add.reduceat(weights, first)
     sizes = np.diff(np.r_[first, len(codes)])
-    upto = np.cumsum(weights)
+    total, upto = np.repeat(np.add.reduceat(weights, first), sizes), np.cumsum(weights)
     base = np.repeat(np.r_[0.0, upto[first[1:] - 1]], sizes)
-    q = np.clip((upto - base - weights / 2) / np.repeat(total, sizes), 0, 1)
-    k = np.floor(delta / (2 * np.pi) * (np.arcsin(2 * q - 1) + np.pi / 2))
-    # small groups keep every value, and equal neighbours always share a centroid
-    k = np.where(np.repeat(sizes, sizes) <= delta // 4, np.arange(len(codes)), k)
-    begin = np.r_[True, (codes[1:] != codes[:-1]) | ((k[1:] != k[:-1]) & (means[1:] != means[:-1]))]
-    at = np.flatnonzero(begin)
-    w = np.add.reduceat(weights, at)
-    # of a cluster of equal values the mean is that value, without rounding
-    lo, hi = means[at], np.maximum.reduceat(means, at)
-    mean = np.where(lo == hi, lo, np.add.reduceat(weights * means, at) / w)
-    return codes[at], np.clip(mean, lo, hi), w
-
-
-def _rows(keys: pd.DataFrame, codes: np.ndarray, means: np.ndarray, weights: np.ndarray, low: np.ndarray, high: np.ndarray) -> pd.DataFrame:
-    """A digest a row; keys, low and high by code."""
-    codes, means, weights = clustered(codes, means, weights)
+    left, middle, right = (delta / (2 * np.pi) * (np.arcsin(2 * np.clip((upto - base - weights * part) / total, 0, 1) - 1) + np.pi / 2) for part in (1, 0.5, 0))
+    # small groups keep every value, and what fills a cluster alone stays alone
+    k = np.where(np.repeat(sizes, sizes) <= delta // 4, np.arange(len(codes)), np.floor(middle))
+    alone = right - left > 1
+    gather(np.r_[True, (codes[1:] != codes[:-1]) | (k[1:] != k[:-1]) | alone[1:] | alone[:-1]])
+    return [codes, means, lows, highs, weights]
+
+
+def _rows(keys: pd.DataFrame, codes: np.ndarray, *parts: np.ndarray) -> pd.DataFrame:
+    """A digest a row; keys by code."""
+    codes, *parts = clustered(codes, *parts)
     at = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
     out = keys.iloc[codes[at]].reset_index(drop=True)
-    out["n"] = np.add.reduceat(weights, at)
-    out["low"], out["high"] = low[codes[at]], high[codes[at]]
-    out["means"], out["weights"] = np.split(means, at[1:]), np.split(weights, at[1:])
+    out["n"] = np.add.reduceat(parts[3], at)
+    for name, x in zip(_PARTS, parts, strict=True):
+        out[name] = np.split(x, at[1:])
     return out
 
 
@@ -69,12 +73,9 @@ def _digest(keys: list[str], metrics: list[str]):
             ok = ~np.isnan(values)
             if not ok.any():
                 continue
-            c, v = codes[ok], values[ok]
-            low, high = np.full(len(names), np.inf), np.full(len(names), -np.inf)
-            np.minimum.at(low, c, v)
-            np.maximum.at(high, c, v)
-            out = _rows(names, c, v, np.ones(len(v)), low, high)
-            yield out.assign(metric=metric, part=pid)[[*keys, "part", "metric", "n", "low", "high", "means", "weights"]]
+            v = values[ok]
+            out = _rows(names, codes[ok], v, v, v, np.ones(len(v)))
+            yield out.assign(metric=metric, part=pid)[[*keys, "part", "metric", "n", *_PARTS]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
@@ -97,12 +98,8 @@ def _merge(keys: list[str]):
         group = rows.groupby(keys, dropna=False, sort=False)
         code = group.ngroup().to_numpy()
         names = rows.loc[group.head(1).index, keys].reset_index(drop=True)
-        low, high = np.full(len(names), np.inf), np.full(len(names), -np.inf)
-        np.minimum.at(low, code, rows["low"].to_numpy())
-        np.maximum.at(high, code, rows["high"].to_numpy())
         codes = np.repeat(code, rows["means"].map(len).to_numpy())
-        out = _rows(names, codes, np.concatenate(rows["means"].to_numpy()), np.concatenate(rows["weights"].to_numpy()), low, high)
-        return out[[*keys, "n", "low", "high", "means", "weights"]]
+        return _rows(names, codes, *[np.concatenate(rows[p].to_numpy()) for p in _PARTS])[[*keys, "n", *_PARTS]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -127,20 +124,20 @@ def merged(digests: DataFrame, keys: list[str]) -> DataFrame:
     """One digest for each of `keys` and metric. A key's digests stream through a task, `FAN` held at a time."""
     by = [*keys, "metric"]
     kinds = dict(digests.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in by) + ", n double, low double, high double, means array<double>, weights array<double>"
-    rows = digests.select(*by, "n", "low", "high", "means", "weights")
+    schema = ", ".join(f"{k} {kinds[k]}" for k in by) + ", " + _BODY
+    rows = digests.select(*by, "n", *_PARTS)
     return rows.repartition(partitions_for(digests), *by).sortWithinPartitions(*by).mapInPandas(_merge(by), schema)
 
 
 def digests(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """A digest for each of `keys` and metric: `keys, metric, n, low, high, means, weights`.
+    """A digest for each of `keys` and metric: `keys, metric, n, means, lows, highs, weights`.
 
     Partial digests of each partition's rows (`CHUNK` at a time) are merged in levels of at most `FAN` partitions, so
     neither the values nor the digests of a hot key meet in one task. Null and NaN values are no measurements; null keys form
     a group of their own; no rows give no digests.
     """
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", part int, " + _BODY
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", part int, metric string, " + _BODY
     parts = rows.select(*keys, *metrics, F.spark_partition_id().alias("pid")).mapInPandas(_digest(keys, metrics), schema)
     count = rows.rdd.getNumPartitions()
     while count > FAN:
@@ -148,22 +145,26 @@ def digests(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     return merged(parts, keys)
 
 
+def _value(levels: np.ndarray, n: float, means: np.ndarray, lows: np.ndarray, highs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Values at the ranks levels * n: between the centres of centroids, but never outside the centroid that holds the rank."""
+    upto = np.cumsum(weights)
+    i = np.minimum(np.searchsorted(upto, levels * n - 1e-9), len(means) - 1)
+    return np.clip(np.interp(levels * n, upto - weights / 2, means), lows[i], highs[i])
+
+
 def _values(levels: tuple[float, ...]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = np.asarray(levels)
         for b in batches:
-            out = []
-            for n, low, high, means, weights in zip(b["n"], b["low"], b["high"], b["means"], b["weights"], strict=True):
-                middle = np.cumsum(weights) - np.asarray(weights) / 2
-                x = np.r_[0.0, middle, n]
-                out.append(np.interp(np.asarray(levels) * n, x, np.r_[low, means, high]))
-            yield b.drop(columns=["low", "high", "means", "weights"]).assign(estimates=out)
+            found = [_value(at, n, *parts) for n, *parts in zip(b["n"], *[b[p] for p in _PARTS], strict=True)]
+            yield b.drop(columns=[*_PARTS]).assign(estimates=found)
 
     return run
 
 
 def estimates(digested: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
     """Each digest's values at `levels`: its keys, metric, n and `estimates`."""
-    keep = [c for c in digested.columns if c not in ("low", "high", "means", "weights")]
+    keep = [c for c in digested.columns if c not in _PARTS]
     kinds = dict(digested.dtypes)
     return digested.mapInPandas(_values(levels), ", ".join(f"{c} {kinds[c]}" for c in keep) + ", estimates array<double>")
 
@@ -217,7 +218,7 @@ def percentiles(rows: DataFrame, keys: list[str], day: str, metrics: list[str],
     error = F.greatest(low - F.col("level"), F.col("level") - high, F.lit(0.0))
     # one value more or less is as exact as a sample of n values can be
     bound = F.greatest(F.lit(BOUND), 1 / F.col("n"))
-    return out.select(*by, "metric", "level", "n", "value", low.alias("rank_low"), high.alias("rank_high"), error.alias("rank_error"), bound.alias("error_bound"), (error <= bound).alias("certified"))
+    return out.select(*by, "metric", "level", "n", "value", low.alias("rank_low"), high.alias("rank_high"), error.alias("rank_error"), bound.alias("error_bound"), (error <= bound + 1e-9).alias("certified"))
 
 
 def observations(raw: DataFrame) -> DataFrame:
