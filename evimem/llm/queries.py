@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evimem.llm import digests
+from evimem.llm import digests, tokens
 from evimem.sources.tables import OBSERVATIONS, table
 
 
@@ -13,5 +13,9 @@ def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return digests.percentiles(rows, ["model", "condition"], "day", ["agent_ttft_ms", "memory_prepare_ms", "reported_prompt_tokens"])
 
 
-QUERIES = {"p2_percentiles": p2_percentiles}
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.token_ids(table(spark, folder, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p2_percentiles": p2_percentiles, "p8_ids": p8_ids}
 SQL: dict[str, str] = {}

@@ -138,10 +138,9 @@ class Pieces(dict):
 
 
 @lru_cache(maxsize=1)
-def _odd_characters() -> re.Pattern:
+def _odd_characters() -> frozenset[str]:
     """Characters that the standard library's classes treat unlike the tokenizer's: numbers that are no decimal digits, odd white space."""
-    odd = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")]
-    return re.compile("[" + "".join(map(re.escape, [*odd, *map(chr, range(0x1C, 0x20))])) + "]")
+    return frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")) | frozenset(map(chr, range(0x1C, 0x20)))
 
 
 #: Contractions, letters, digits, other signs, white space up to a word, other white space: the pieces that are never joined.
@@ -150,7 +149,7 @@ _QUICK = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\
 
 def pieces(text: str) -> list[str]:
     """The pieces of `text`; joined they are the text."""
-    if text.isascii() and not any(map(text.__contains__, "\x1c\x1d\x1e\x1f")) or not _odd_characters().search(text):
+    if _odd_characters().isdisjoint(text):
         return _QUICK.findall(text)
     import public_tokenizers
     import regex
