@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evimem.llm import digests, tokens
+from evimem.llm import copies, digests, neardup, tokens
 from evimem.sources.tables import OBSERVATIONS, table
 
 
@@ -13,9 +13,21 @@ def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return digests.percentiles(rows, ["model", "condition"], "day", ["agent_ttft_ms", "memory_prepare_ms", "reported_prompt_tokens"])
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.similar_pairs(table(spark, folder, "memories"), "id", "content").toDF("memory_id_a", "memory_id_b")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return copies.copy_pairs(table(spark, folder, "memories"), "id", "content")
+
+
+def p7_records(spark: SparkSession, folder: str) -> DataFrame:
+    return copies.records(table(spark, folder, "memories"), "id", "content")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p8_ids": p8_ids}
+QUERIES = {"p2_percentiles": p2_percentiles, "p6_found": p6_found, "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids}
 SQL: dict[str, str] = {}
