@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -20,8 +19,8 @@ BUCKETS = 1 << 18
 RARE = 64
 #: Fragments of the word order over which overlaps are counted separately.
 FRAGMENTS = 4
-#: Sizes of sets up to which candidates must share three frequent words, or two.
-TRIPLES, PAIRS = 300, 2000
+#: Size of sets up to which candidates must share two frequent words; of larger ones they share one.
+PAIRS = 2000
 
 
 def words(text: Column) -> Column:
@@ -56,14 +55,11 @@ def _mixed(*parts: np.ndarray) -> np.ndarray:
 
 
 def _signatures(sketch, share: float):
-    """Signatures of each set: frequent words three (two, one) at a time, rare ones alone, from the words that come first.
+    """Signatures of each set: frequent words two (for large sets one) at a time, rare ones alone, from the words that come first.
 
     Two sets with enough common words share, among the first words of each, at least as many of them as a signature takes:
-    one rare word, or otherwise that many frequent ones. Small and large sets use signatures of different
-    sizes; sets near a border have both kinds.
+    one rare word, or otherwise that many frequent ones. Sets near the border of sizes have both kinds.
     """
-    pools = {k: np.array(list(combinations(range(40), k)), np.int64) for k in (2, 3)}
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = sketch.value
         for b in batches:
@@ -77,7 +73,7 @@ def _signatures(sketch, share: float):
                 count = order[h % BUCKETS]
                 by = np.lexsort((h, count))
                 h, count = h[by].view(np.uint64), count[by]
-                kinds = [k for k, fits in ((3, n <= TRIPLES), (2, TRIPLES * share <= n <= PAIRS), (1, n >= PAIRS * share)) if fits]
+                kinds = [k for k, fits in ((2, n <= PAIRS), (1, n >= PAIRS * share)) if fits]
                 for kind in kinds:
                     long = min(n, n - math.ceil(share * n - 1e-9) + kind)  # against sets of at most n words
                     short = min(n, n - needed(n, n, share) + kind)  # against larger ones
@@ -86,12 +82,9 @@ def _signatures(sketch, share: float):
                     sigs, last = [_mixed(np.full(len(single), 1, np.uint64), h[single])], [single]
                     if kind > 1:
                         often = at[count[:long] > RARE]
-                        pick = pools[kind]
-                        pick = pick[pick[:, -1] < len(often)] if len(often) <= 40 else np.array(list(combinations(range(len(often)), kind)), np.int64)
-                        if len(pick):
-                            chosen = often[pick]
-                            sigs.append(_mixed(np.full(len(chosen), kind, np.uint64), *[h[chosen[:, k]] for k in range(kind)]))
-                            last.append(chosen[:, -1])
+                        i, j = np.triu_indices(len(often), 1)
+                        sigs.append(_mixed(np.full(len(i), kind, np.uint64), h[often[i]], h[often[j]]))
+                        last.append(often[j])
                     sig, end = np.concatenate(sigs), np.concatenate(last)
                     out.append([sig.view(np.int64), np.full(len(sig), kind, np.int8), end.astype(np.int32), end < short])
                     of.append(row)
