@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evimem.llm import copies, digests, neardup, personal, tokens
+from evimem.llm import copies, cuts, digests, neardup, personal, tokens
 from evimem.sources.tables import OBSERVATIONS, table
 
 
@@ -13,6 +13,14 @@ def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return digests.percentiles(rows, ["model", "condition"], "day", ["agent_ttft_ms", "memory_prepare_ms", "reported_prompt_tokens"])
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return cuts.judged(table(spark, folder, "memories"), "id", "content", "source_type").where("cut").selectExpr("key as memory_id")
+
+
+def p3_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return cuts.report(table(spark, folder, "memories"), "id", "content", "source_type")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     found = personal.mentions(table(spark, folder, "memories"), "id", ["content", "quarantine_reason"])
     return found.selectExpr("id as memory_id", "field", "pii_type", "nth")
@@ -38,5 +46,5 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids}
+QUERIES = {"p2_percentiles": p2_percentiles, "p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids}
 SQL: dict[str, str] = {}
