@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evimem.llm import copies, cuts, digests, neardup, personal, tokens
+from evimem.llm import copies, cuts, digests, mixing, neardup, personal, reading, tokens
 from evimem.sources.tables import OBSERVATIONS, table
 
 
@@ -46,5 +46,22 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids}
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "mixture_targets"), "doc_id", "text", "source")[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "mixture_targets"), "doc_id", "text", "source")[1]
+
+
+def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return reading.levels(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "reading_reference"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Running prose nearer to level 4 than to level 3."""
+    return p10_levels(spark, folder).where("prose and level >= 3.5").select("doc_id")
+
+
+QUERIES = {"p2_percentiles": p2_percentiles, "p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_levels": p10_levels}
 SQL: dict[str, str] = {}

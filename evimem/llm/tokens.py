@@ -15,6 +15,7 @@ from pathlib import Path
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Most pieces, and pairs of tokens, that a worker remembers; past that it forgets all of them and goes on.
 MEMORY = 400_000
@@ -176,7 +177,7 @@ def append(ids: list[int], text: str, more: str, known: Pieces) -> list[int]:
     return ids[: len(ids) - again] + encode(tail + more, known)
 
 
-def _encoder(vocabulary, key: str, sizes: bool):
+def _encoder(vocabulary, keep: list[str], sizes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _loaded(vocabulary.value)
         get = known.__getitem__
@@ -193,19 +194,20 @@ def _encoder(vocabulary, key: str, sizes: bool):
                 else:
                     ends.append(len(flat))
             if sizes:
-                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(memoryview(ends)[1:], pa.int64())], names=[key, "n_tokens"])
+                yield pa.RecordBatch.from_arrays([*map(batch.column, keep), pa.array(memoryview(ends)[1:], pa.int64())], names=[*keep, "n_tokens"])
             else:
                 ids = pa.ListArray.from_arrays(pa.array(memoryview(ends), pa.int32()), pa.array(memoryview(flat), pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(key), ids], names=[key, "ids"])
+                yield pa.RecordBatch.from_arrays([*map(batch.column, keep), ids], names=[*keep, "ids"])
 
     return run
 
 
-def _run(df: DataFrame, key: str, text: str, file: str | None, sizes: bool) -> DataFrame:
+def _run(df: DataFrame, keep: list[str], text: str, file: str | None, sizes: bool) -> DataFrame:
     # at most a few MB: one vocabulary, whatever the number of texts
     vocabulary = df.sparkSession.sparkContext.broadcast(Path(file or vocabulary_file()).read_text())
-    kind = dict(df.dtypes)[key]
-    return df.select(key, df[text].alias("text")).mapInArrow(_encoder(vocabulary, key, sizes), f"{key} {kind}, " + ("n_tokens bigint" if sizes else "ids array<int>"))
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + (", n_tokens bigint" if sizes else ", ids array<int>")
+    return df.select(*keep, F.col(text).alias("text")).mapInArrow(_encoder(vocabulary, keep, sizes), schema)
 
 
 def token_ids(df: DataFrame, key: str, text: str, file: str | None = None) -> DataFrame:
@@ -214,9 +216,9 @@ def token_ids(df: DataFrame, key: str, text: str, file: str | None = None) -> Da
     No shuffle: each task encodes its rows. Very long unbroken texts take time in proportion to their length. Every
     row of `df` gives one row, repeated rows too.
     """
-    return _run(df, key, text, file, sizes=False)
+    return _run(df, [key], text, file, sizes=False)
 
 
-def token_sizes(df: DataFrame, key: str, text: str, file: str | None = None) -> DataFrame:
-    """`key, n_tokens`: the number of tokens of each whole text, 0 for null and empty ones."""
-    return _run(df, key, text, file, sizes=True)
+def token_sizes(df: DataFrame, keep: list[str], text: str, file: str | None = None) -> DataFrame:
+    """The columns `keep` and `n_tokens`, the number of tokens of each whole text, 0 for null and empty ones."""
+    return _run(df, keep, text, file, sizes=True)
