@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evimem.plans import history
+from evimem.plans import history, ledger
 
-MODULES = (history,)
+MODULES = (history, ledger)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
