@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evimem.plans import history, ledger
+from evimem.plans import history, ledger, links
 
-MODULES = (history, ledger)
+MODULES = (history, ledger, links)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
