@@ -46,21 +46,19 @@ class Items:
     def __init__(self, languages: list[str], words: list[str], telling: dict[str, list[int]]):
         self.languages, self.size = languages, len(words)
         self.index = {w: k for k, w in enumerate(words)}
-        self.telling = telling  # word: how often it occurs in the graded passages of each language
-
-    def counted(self, text: str) -> tuple[int, Counter, int]:
-        """Language of a text, its items with counts, and its number of words."""
-        words = Counter(_WORD.findall(text.lower()))
-        votes = np.zeros(len(self.languages))
-        found: Counter = Counter()
-        for w, n in words.items():
-            if w in self.index:
-                found[self.index[w]] += n
-                if w in self.telling:
-                    seen = self.telling[w]
-                    votes += n * np.asarray(seen) / sum(seen)
-        lang = int(votes.argmax()) if len(votes) else 0
-        return lang, Counter({lang * self.size + k: n for k, n in found.items()}), sum(words.values())
+        # how much each word speaks for each language: its share of that language in the graded passages
+        self.votes = np.zeros((len(words), len(languages)))
+        for w, seen in telling.items():
+            self.votes[self.index[w]] = np.asarray(seen) / sum(seen)
+
+    def counted(self, text: str) -> tuple[int, np.ndarray, np.ndarray, int]:
+        """Language of a text, its items with their counts, and its number of words."""
+        words = _WORD.findall(text.lower())
+        found = Counter(map(self.index.get, words))
+        found.pop(None, None)
+        at, n = np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+        lang = int((n @ self.votes[at]).argmax())
+        return lang, at + lang * self.size, n, len(words)
 
 
 def _encoded(items):
@@ -68,9 +66,7 @@ def _encoded(items):
         for b in batches:
             rows = []
             for key, text in zip(b["key"], b["text"], strict=True):
-                lang, found, total = items.value.counted(text)
-                at = np.fromiter(found.keys(), np.int32, len(found))
-                n = np.fromiter(found.values(), np.int32, len(found))
+                lang, at, n, total = items.value.counted(text)
                 prose = bool(n.sum() >= LEAST_WORDS and n.sum() >= LEAST_SHARE * total and _prose_share(text) >= 0.5)
                 rows.append((key, lang, at, n, prose))
             yield pd.DataFrame(rows, columns=["key", "lang", "at", "n", "prose"])
@@ -201,10 +197,10 @@ def levels(df: DataFrame, key: str, text: str, graded: DataFrame) -> DataFrame:
     model = Model(len(languages), len(words))
     lang, at, n = [], [], []
     for name, passage in zip(passages["lang"], passages["text"], strict=True):
-        _, found, _ = items.counted(passage)
+        _, found, times, _ = items.counted(passage)
         lang.append(languages.index(name))
-        at.append(np.array([k % len(words) + lang[-1] * len(words) for k in found], np.int64))
-        n.append(np.array(list(found.values()), float))
+        at.append(found % len(words) + lang[-1] * len(words))
+        n.append(times.astype(float))
     lang, grade = np.array(lang), passages["reading_level"].to_numpy(float)
     flat, counts = np.concatenate(at), np.concatenate(n)
     known = np.repeat(grade, [len(a) for a in at])
