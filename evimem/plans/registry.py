@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evimem.plans import history, ledger, links, text
+from evimem.plans import history, ledger, links, retrieval, text
 
-MODULES = (history, ledger, links, text)
+MODULES = (history, ledger, links, retrieval, text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
