@@ -169,30 +169,30 @@ def feature_tokens(text: Column) -> Column:
     return F.slice(F.filter(bare, lambda t: (t != "") & ~t.isin(STOP)), 1, 48)
 
 
-def stemmed(words: Column) -> Column:
-    """Tokens with their stems."""
-    return F.transform(words, lambda t: F.struct(t.alias("t"), stem(t).alias("s")))
-
-
-def features(words: Column) -> Column:
-    """Weighted features of `stemmed` tokens, repeats included: exact tokens, stems, character trigrams, neighbouring stems, concepts.
-
-    `words` must be a column that is there already, not an expression: it is looked at for every token.
-    """
+def features(token: Column, following: Column) -> Column:
+    """Weighted features that one of the `feature_tokens` and the one after it (or null) give: exact token, stem, trigrams, pair, concepts."""
 
     def made(prefix: str, value: Column, weight: float) -> Column:
         return F.struct(F.concat(F.lit(prefix), value).alias("feature"), F.lit(weight).alias("weight"))
 
-    exact = F.transform(words, lambda w: made("tok:", w["t"], 1.0))
-    stems = F.transform(F.filter(words, lambda w: (w["s"] != w["t"]) & (F.length(w["s"]) >= 3)), lambda w: made("stem:", w["s"], 0.72))
-    long = F.filter(words, lambda w: (F.length(w["t"]) >= 6) & w["t"].rlike(r"^\p{L}+$"))
-    grams = F.flatten(F.transform(long, lambda w: F.slice(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(w["t"])), lambda k: F.substring(F.concat(F.lit("^"), w["t"], F.lit("$")), k, F.lit(3)))), 1, 10)))
-    trigrams = F.transform(grams, lambda g: made("tri:", g, 0.10))
-    nexts = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.size(nexts)), nexts, lambda a, b: made("pair:", F.concat(a["s"], F.lit(":"), b["s"]), 0.58))
-    both = F.concat(F.transform(words, lambda w: w["t"]), F.transform(words, lambda w: w["s"]))
-    concepts = F.array_compact(F.array(*[F.when(F.arrays_overlap(both, F.array(*map(F.lit, aliases.split()))), made("concept:", F.lit(name), 0.88)) for name, aliases in CONCEPTS.items()]))
-    return F.concat(exact, stems, trigrams, pairs, concepts)
+    root = stem(token)
+    padded = F.concat(F.lit("^"), token, F.lit("$"))
+    grams = F.slice(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(token)), lambda k: F.substring(padded, k, F.lit(3)))), 1, 10)
+    trigrams = F.when((F.length(token) >= 6) & token.rlike(r"^\p{L}+$"), F.transform(grams, lambda g: made("tri:", g, 0.10)))
+    groups = {}
+    for name, aliases in CONCEPTS.items():
+        for alias in aliases.split():
+            groups.setdefault(alias, []).append(name)
+    concepts = F.create_map(*[x for alias, names in groups.items() for x in (F.lit(alias), F.array(*map(F.lit, names)))])
+    named = lambda t: F.coalesce(F.transform(F.element_at(concepts, t), lambda c: made("concept:", c, 0.88)), F.array())
+    single = F.array_compact(
+        F.array(
+            made("tok:", token, 1.0),
+            F.when((root != token) & (F.length(root) >= 3), made("stem:", root, 0.72)),
+            F.when(following.isNotNull(), made("pair:", F.concat(root, F.lit(":"), stem(following)), 0.58)),
+        )
+    )
+    return F.concat(single, F.coalesce(trigrams, F.array()), named(token), named(root))
 
 
 def marker_score(text: Column, markers: list[tuple[str, int]]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evimem.functions import text as T
 from evimem.functions.numbers import r6
 from evimem.plans.registering import registrar
+from evimem.session import spread_out
 from evimem.sources.tables import table
 
 QUERIES: dict = {}
@@ -90,8 +91,9 @@ feats as (select id, feature, weight from ranked where place <= 160)"""
 def feature_rows(memories):
     """`id, feature, weight`: the up to 160 weightiest features of each record."""
     # exploding a single value keeps the optimizer from putting the tokenizer into every later use
-    words = memories.select("id", F.explode(F.array(T.feature_tokens(F.col("content")))).alias("w")).select("id", F.explode(F.array(T.stemmed(F.col("w")))).alias("w"))
-    rows = words.select("id", F.inline(T.features(F.col("w")))).groupBy("id", "feature").agg(F.max("weight").alias("weight"))
+    words = spread_out(memories).select("id", F.explode(F.array(T.feature_tokens(F.col("content")))).alias("w"))
+    pairs = words.select("id", F.inline(F.arrays_zip(F.col("w").alias("t"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("following"))))
+    rows = pairs.select("id", F.inline(T.features(F.col("t"), F.col("following")))).groupBy("id", "feature").agg(F.max("weight").alias("weight"))
     # a record has at most a few hundred features, so its window is small
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "feature"))).where("place <= 160").drop("place")
 

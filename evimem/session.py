@@ -53,3 +53,9 @@ def partitions_for(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """`df` over all cores, for work that costs far more than moving the rows: a table of fewer partitions than cores is split, others stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
