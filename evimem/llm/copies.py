@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evimem.functions.skew import HOT_SHARE
-from evimem.session import partitions_for, written
+from evimem.session import partitions_for, spread_out, written
 
 #: Slots of the filters for each key, as a power of two, and their most: 2 ** 27 slots are 32 MB of bits at the driver and executors.
 SLOTS_PER_KEY, LEAST_SLOTS, MOST_SLOTS = 8, 1 << 16, 1 << 27
@@ -46,7 +46,7 @@ def fields(text: Column) -> Column:
 
 def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     """`key, sequence, record`: digests (128 bits) of the letters of each text, and of its named fields if it is a list."""
-    found = df.select(F.col(key).alias("key"), letters(F.col(text)).alias("all"), fields(F.col(text)).alias("fields")).where("key is not null and all <> ''")
+    found = spread_out(df.select(F.col(key), F.col(text))).select(F.col(key).alias("key"), letters(F.col(text)).alias("all"), fields(F.col(text)).alias("fields")).where("key is not null and all <> ''")
     return found.select("key", F.unhex(F.md5("all")).alias("sequence"), F.unhex(F.md5(F.concat(F.lit("#"), F.array_join("fields", "\n")))).alias("record"))
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evimem.session import written
+from evimem.session import spread_out, written
 
 #: A word in at least this share of the texts stands for itself, others stand for their shape; so at most
 #: (words of a mean text) / SHARE words are broadcast.
@@ -162,7 +162,7 @@ def judged(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     Null, empty and blank texts are not cut; a null source is a source of its own; repeated rows are judged repeatedly.
     """
     rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text")).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
-    rows = rows.withColumn("source", F.coalesce(F.col("source").cast("string"), F.lit("\t")))
+    rows = spread_out(rows.withColumn("source", F.coalesce(F.col("source").cast("string"), F.lit("\t"))))
     spark = df.sparkSession
     total = rows.count()
     parts = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}:/.@_+-]+|[.]+(?=\s|$)"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evimem.llm.copies import classes
-from evimem.session import written
+from evimem.session import spread_out, written
 
 #: Buckets of the frequency sketch that orders words; its size does not depend on the data.
 BUCKETS = 1 << 18
@@ -140,7 +140,7 @@ def similar_sets(sets: DataFrame, share: float) -> DataFrame:
     No candidate is dropped without proof, so the result is exact (up to equal 64-bit hashes of different words).
     """
     sketch = sets.sparkSession.sparkContext.broadcast(frequency_sketch(sets))
-    whole = sets.select("set", "words", F.size("words").alias("n"), _bits(0).alias("bits_a"), _bits(1).alias("bits_b"))
+    whole = spread_out(sets).select("set", "words", F.size("words").alias("n"), _bits(0).alias("bits_a"), _bits(1).alias("bits_b"))
     signatures = whole.mapInPandas(_signatures(sketch, share), "set binary, n int, bits_a bigint, bits_b bigint, sig bigint, kind byte, last int, short boolean")
     signatures = written(signatures, "signatures")
     probe = signatures.select("sig", "kind", *[F.col(c).alias(f"{c}1") for c in ("set", "n", "bits_a", "bits_b", "last")])
@@ -165,7 +165,7 @@ def similar_pairs(df: DataFrame, key: str, text: str, share: float = 0.7) -> Dat
     key have no pairs; a key that is repeated is one row for each repetition and pairs with itself never.
     """
     copies, _ = classes(df, key, text)
-    rows = df.select(F.col(key).alias("key"), words(F.col(text)).alias("words")).where("key is not null and size(words) > 0")
+    rows = spread_out(df.select(F.col(key), F.col(text))).select(F.col(key).alias("key"), words(F.col(text)).alias("words")).where("key is not null and size(words) > 0")
     rows = rows.withColumn("set", F.unhex(F.md5(F.array_sort("words").cast("string"))))
     firsts = copies.select("key", "first").distinct()
     members = written(rows.join(firsts, "key", "left").select("key", "set", F.coalesce("first", "key").alias("record"), "words"), "members")

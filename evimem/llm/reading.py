@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evimem.session import written
+from evimem.session import spread_out, written
 
 #: A corpus word is an item of the model from this share of the documents on (beside the words of the graded passages), so at most
 #: (different words of a mean document) / SHARE words are broadcast.
@@ -179,7 +179,7 @@ def levels(df: DataFrame, key: str, text: str, graded: DataFrame) -> DataFrame:
     spark = df.sparkSession
     passages = graded.select("lang", "text", "reading_level").where("text is not null and lang is not null and reading_level is not null").toPandas()
     kind = dict(df.dtypes)[key]
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = spread_out(df.select(F.col(key).alias("key"), F.col(text).alias("text")))
     if not len(passages):
         return rows.select(F.col("key").alias(key), F.lit(None).cast("double").alias("level"), F.lit(False).alias("prose"))
     languages = sorted(passages["lang"].unique())

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evimem.session import spread_out
+
 #: Most pieces, and pairs of tokens, that a worker remembers; past that it forgets all of them and goes on.
 MEMORY = 400_000
 
@@ -207,7 +209,7 @@ def _run(df: DataFrame, keep: list[str], text: str, file: str | None, sizes: boo
     vocabulary = df.sparkSession.sparkContext.broadcast(Path(file or vocabulary_file()).read_text())
     kinds = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + (", n_tokens bigint" if sizes else ", ids array<int>")
-    return df.select(*keep, F.col(text).alias("text")).mapInArrow(_encoder(vocabulary, keep, sizes), schema)
+    return spread_out(df.select(*keep, F.col(text).alias("text"))).mapInArrow(_encoder(vocabulary, keep, sizes), schema)
 
 
 def token_ids(df: DataFrame, key: str, text: str, file: str | None = None) -> DataFrame:
