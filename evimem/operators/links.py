@@ -54,18 +54,20 @@ def contradictions(claims: DataFrame, keys: list[str], key: str, value: str, sta
     """
     low, high = F.lit(-(1 << 61)), F.lit(1 << 61)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    rows = claims.select(*keys, F.col(key).alias("k"), F.lower(value).alias("v"), F.coalesce(micros(start), low).alias("s"), F.coalesce(micros(end), high).alias("e")).where("v is not null and s <= e")
-    marks = rows.select(*keys, "k", "v", F.inline(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("begins")), F.struct(F.col("e").alias("at"), F.lit(0).alias("begins")))))
+    by_key = [f"_key{n}" for n in range(len(keys))]
+    rows = claims.select(*[F.col(c).alias(n) for c, n in zip(keys, by_key, strict=True)], F.col(key).alias("_id"), F.lower(value).alias("_value"), F.coalesce(micros(start), low).alias("_start"), F.coalesce(micros(end), high).alias("_end"))
+    rows = rows.where("_value is not null and _start <= _end")
+    marks = rows.select(*by_key, "_id", "_value", F.inline(F.array(F.struct(F.col("_start").alias("_at"), F.lit(1).alias("_begins")), F.struct(F.col("_end").alias("_at"), F.lit(0).alias("_begins")))))
 
     def counted(by: list[str], name: str) -> tuple[Column, Column]:
-        upto = Window.partitionBy(*by).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-        before = Window.partitionBy(*by).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-        return F.sum("begins").over(upto).alias(f"begun_{name}"), F.coalesce(F.sum(1 - F.col("begins")).over(before), F.lit(0)).alias(f"gone_{name}")
-
-    seen = marks.select(*keys, "k", "begins", *counted(keys, "all"), *counted([*keys, "v"], "same"))
-    begun = F.max(F.when(F.col("begins") == 0, F.col("begun_all") - F.col("begun_same")))
-    gone = F.max(F.when(F.col("begins") == 1, F.col("gone_all") - F.col("gone_same")))
-    return seen.groupBy("k").agg((begun - gone).alias("conflicts")).withColumnRenamed("k", key)
+        upto = Window.partitionBy(*by).orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+        before = Window.partitionBy(*by).orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+        return F.sum("_begins").over(upto).alias(f"begun_{name}"), F.coalesce(F.sum(1 - F.col("_begins")).over(before), F.lit(0)).alias(f"gone_{name}")
+
+    seen = marks.select("_id", "_begins", *counted(by_key, "all"), *counted([*by_key, "_value"], "same"))
+    begun = F.max(F.when(F.col("_begins") == 0, F.col("begun_all") - F.col("begun_same")))
+    gone = F.max(F.when(F.col("_begins") == 1, F.col("gone_all") - F.col("gone_same")))
+    return seen.groupBy("_id").agg((begun - gone).alias("conflicts")).withColumnRenamed("_id", key)
 
 
 def running_count(events: DataFrame, at: str, population: DataFrame, born: str) -> DataFrame:
