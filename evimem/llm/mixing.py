@@ -125,5 +125,5 @@ def mixed(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, f
     wanted = sum(w for s, w, _ in listed if s in quota) or 1.0
     facts = spark.createDataFrame([(s, w, w / wanted if s in quota else 0.0, r, *totals.get(s, (0, 0))[::-1]) for s, w, r in listed], "source string, target_share double, scaled_share double, max_repeats int, texts bigint, tokens bigint")
     report = facts.join(used, "source", "left").fillna(0, ["tokens_used", "texts_used", "most_copies"])
-    report = report.withColumn("actual_share", F.coalesce(F.col("tokens_used") / F.sum("tokens_used").over(Window.partitionBy()), F.lit(0.0)))
+    report = report.withColumn("actual_share", F.coalesce(F.try_divide(F.col("tokens_used"), F.sum("tokens_used").over(Window.partitionBy())), F.lit(0.0)))
     return out, report
