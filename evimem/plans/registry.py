@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evimem.plans import documents, history, ledger, links, retrieval, text
+from evimem.plans import documents, history, ledger, links, retrieval, small, text
 
-MODULES = (history, ledger, links, retrieval, text, documents)
+MODULES = (history, ledger, links, retrieval, text, small, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
