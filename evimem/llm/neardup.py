@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evimem.llm.copies import classes
+from evimem.llm.copies import WAYS, classes
 from evimem.session import spread_out, written
 
 #: Buckets of the frequency sketch that orders words; its size does not depend on the data.
@@ -157,13 +157,8 @@ def similar_sets(sets: DataFrame, share: float) -> DataFrame:
     return counted.where(F.col("common") >= F.ceil(F.lit(share / (1 + share)) * (F.col("n_a") + F.col("n_b")) - 1e-9)).select("a", "b")
 
 
-def similar_pairs(df: DataFrame, key: str, text: str, share: float = 0.7) -> DataFrame:
-    """`a, b` (a < b): keys of texts that are different records, with word sets whose similarity is `share` or more.
-
-    Equal word sets are joined as one, and copies of one record (see copies) as one member of it, so a group of copies
-    costs no pairs of its own; the keys of both sides are put in at the end. Texts without words, null texts and rows without
-    key have no pairs; a key that is repeated is one row for each repetition and pairs with itself never.
-    """
+def _linked(df: DataFrame, key: str, text: str, share: float) -> tuple[DataFrame, DataFrame]:
+    """The members (`key, set, record`) of all texts with words, and the links between records (`a, record_a, b, record_b`; a, b: word sets)."""
     copies, _ = classes(df, key, text)
     rows = spread_out(df.select(F.col(key), F.col(text))).select(F.col(key).alias("key"), words(F.col(text)).alias("words")).where("key is not null and size(words) > 0")
     rows = rows.withColumn("set", F.unhex(F.md5(F.array_sort("words").cast("string"))))
@@ -175,8 +170,51 @@ def similar_pairs(df: DataFrame, key: str, text: str, share: float = 0.7) -> Dat
     one, two = units.select(F.col("set").alias("a"), F.col("record").alias("record_a")), units.select(F.col("set").alias("b"), F.col("record").alias("record_b"))
     across = found.join(one, "a").join(two, "b").where("record_a <> record_b")
     within = one.join(two, one["a"] == two["b"]).where("record_a < record_b")
-    linked = across.select("a", "record_a", "b", "record_b").unionByName(within.select("a", "record_a", "b", "record_b"))
+    return members, across.select("a", "record_a", "b", "record_b").unionByName(within.select("a", "record_a", "b", "record_b"))
+
+
+def similar_pairs(df: DataFrame, key: str, text: str, share: float = 0.7) -> DataFrame:
+    """`a, b` (a < b): keys of texts that are different records, with word sets whose similarity is `share` or more.
+
+    Equal word sets are joined as one, and copies of one record (see copies) as one member of it, so a group of copies
+    costs no pairs of its own; the keys of both sides are put in at the end. Texts without words, null texts and rows without
+    key have no pairs; a key that is repeated is one row for each repetition and pairs with itself never.
+    """
+    members, linked = _linked(df, key, text, share)
     left = members.select(F.col("set").alias("a"), F.col("record").alias("record_a"), F.col("key").alias("x"))
     right = members.select(F.col("set").alias("b"), F.col("record").alias("record_b"), F.col("key").alias("y"))
     pairs = linked.join(left, ["a", "record_a"]).join(right, ["b", "record_b"])
     return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`key, label`: the least key that each of `nodes` (`key`) is connected with by `pairs` (`a, b`).
+
+    Each round takes the least label among neighbours, then the label's own label; rounds end when nothing changes. Every round is
+    written to the shared folder. Of the labels only roots are joined back, spread over salts, as one component may hold many nodes.
+    """
+    edges = written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = written(nodes.select("key", F.col("key").alias("label")), "labels")
+    while True:
+        near = edges.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
+        lower = written(labels.join(near, "key", "left").select("key", F.col("label").alias("before"), F.least("label", "near").alias("label")), "lower")
+        roots = lower.join(lower.select(F.col("label").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("label"), F.col("label").alias("root"))
+        salted = roots.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))))
+        jumped = lower.withColumn("_s", F.pmod(F.xxhash64("key"), F.lit(WAYS)).cast("int")).join(salted, ["label", "_s"], "left")
+        labels = written(jumped.select("key", F.coalesce("root", "label").alias("label"), "before"), "labels")
+        if labels.where("label <> before").limit(1).count() == 0:
+            return labels.select("key", "label")
+        labels = labels.select("key", "label")
+
+
+def groups(df: DataFrame, key: str, text: str, share: float = 0.7) -> DataFrame:
+    """`key, class_id, links`: the group of near copies of each text with words, and to how many other records it is linked itself.
+
+    Copies of one record have one class and the same links; a text that resembles no other is its own class with 0 links.
+    """
+    members, linked = _linked(df, key, text, share)
+    pairs = written(linked.select(F.least("record_a", "record_b").alias("a"), F.greatest("record_a", "record_b").alias("b")).distinct(), "pairs")
+    found = components(members.select(F.col("record").alias("key")).distinct(), pairs).select(F.col("key").alias("record"), F.col("label").alias("class_id"))
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("record")).groupBy("record").agg(F.count("*").alias("links"))
+    facts = found.join(degrees, "record", "left").select("record", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    return members.select("key", "record").distinct().join(facts, "record").select(F.col("key").alias(key), "class_id", "links")

@@ -34,6 +34,10 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, folder, "memories"), "id", "content").toDF("memory_id_a", "memory_id_b")
 
 
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.groups(table(spark, folder, "memories"), "id", "content")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return copies.copy_pairs(table(spark, folder, "memories"), "id", "content")
 
@@ -63,5 +67,5 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_levels(spark, folder).where("prose and level >= 3.5").select("doc_id")
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_levels": p10_levels}
+QUERIES = {"p2_percentiles": p2_percentiles, "p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_levels": p10_levels}
 SQL: dict[str, str] = {}

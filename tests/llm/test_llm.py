@@ -185,6 +185,23 @@ def test_similar_pairs_are_all_found(spark, seed, n, vocabulary, rare, large):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_groups(spark):
+    a = "one two three four five six seven eight nine ten"
+    rows = [("a", a), ("b", a + " eleven"), ("c", a + " eleven twelve"), ("d", a + " eleven twelve x y"), ("e", a.upper()), ("f", "nothing like it"), ("g", None)]
+    df = spark.createDataFrame(rows, "id string, content string").selectExpr("*", "1 as label", "2 as record")
+    got = {r["id"]: (r["class_id"], r["links"]) for r in neardup.groups(df, "id", "content", 0.8).collect()}
+    # a-b, a-c, b-c, c-d, b-d (11 of 14 words) is below .8
+    assert got == {"a": ("a", 2), "e": ("a", 2), "b": ("a", 2), "c": ("a", 3), "d": ("a", 1), "f": ("f", 0)}
+
+
+def test_components_of_a_long_chain(spark):
+    n = 70
+    nodes = spark.createDataFrame([(f"{k:03d}",) for k in range(n)], "key string")
+    pairs = spark.createDataFrame([(f"{k:03d}", f"{k + 1:03d}") for k in range(n - 1) if k != 40], "a string, b string")
+    got = {r["key"]: r["label"] for r in neardup.components(nodes, pairs).collect()}
+    assert {got[f"{k:03d}"] for k in range(41)} == {"000"} and {got[f"{k:03d}"] for k in range(41, n)} == {"041"}
+
+
 def test_copies(spark):
     rows = [
         ("c", "owner: crew\nplace: the attic"),
