@@ -68,4 +68,23 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p2_percentiles": p2_percentiles, "p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_levels": p10_levels}
-SQL: dict[str, str] = {}
+def _letters(text: str) -> str:
+    return rf"lower(regexp_replace({text}, '[^\p{{L}}\p{{N}}]+', '', 'g'))"
+
+
+_ITEM = r"(?s)^[^\p{L}\p{N}]*([\p{L}\p{N}_]+)[^\p{L}\p{N}:=]*[:=](.*)$"
+_CANON = rf"""
+t as (select id, content, regexp_replace(content, '[\p{{Zs}}\t]', ' ', 'g') as plain, {_letters('content')} as seq from memories where id is not null),
+l as (select id, seq, case when regexp_matches(plain, '(?s)^\s*\{{.*\}}\s*$') and json_valid(plain) then list_transform(json_keys(plain), lambda k: {_letters('k')} || '=' || coalesce({_letters("json_extract_string(plain, '$.\"' || k || '\"')")}, '')) end as j,
+list_filter(string_split_regex(plain, '\n|\s\|\s|;\s'), lambda p: regexp_matches(p, '[\p{{L}}\p{{N}}]')) as parts from t where seq <> ''),
+f as (select id, seq, case when len(j) > 0 then j when len(parts) >= 2 and len(list_filter(parts, lambda p: not regexp_matches(p, '{_ITEM}'))) = 0 then list_transform(parts, lambda p: {_letters(f"regexp_extract(p, '{_ITEM}', 1)")} || '=' || {_letters(f"regexp_extract(p, '{_ITEM}', 2)")}) end as fields from l),
+r as (select id, seq, '#' || array_to_string(list_sort(fields), chr(10)) as record from f),
+canon as (select id, coalesce(min(record) over (partition by seq), seq) as c from r)"""
+SQL: dict[str, str] = {
+    "p7_found": f"with {_CANON}, n as (select id, min(id) over (partition by c) as first_id from canon) select first_id, id as copy_id from n where id <> first_id",
+    "p7_records": f"with {_CANON} select min(id) as id, count(*) as copies from canon group by c",
+    "p6_found": rf"""with {_CANON}, w as (select id, list_distinct(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+')) as ws from memories),
+k as (select id, len(ws) as n, unnest(ws) as word from w),
+o as (select a.id as memory_id_a, b.id as memory_id_b, count(*) as shared, any_value(a.n) + any_value(b.n) as total from k a join k b on a.word = b.word and a.id < b.id group by 1, 2)
+select memory_id_a, memory_id_b from o join canon x on x.id = memory_id_a join canon y on y.id = memory_id_b where x.c <> y.c and 10 * shared >= 7 * (total - shared)""",
+}
