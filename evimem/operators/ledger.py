@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evimem.functions.numbers import clamp, days_between, r6, share, wilson
+from evimem.operators.quantiles import exact_quantiles
 
 # Outcomes that speak for and against a memory.
 POSITIVE, NEGATIVE = ("helpful", "validated"), ("harmful", "corrected")
@@ -168,9 +169,8 @@ def admitted_groups(memories: DataFrame, least: int = 5, contexts: int = 2) -> D
 
 def distribution(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Minimum, quartile-like percentiles (linear interpolation) and maximum; null and NaN values do not count."""
-    ok = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return ok.groupBy(by).agg(F.count("*").alias("n"), r6(F.min(value)).alias("least"), q.alias("q"), r6(F.max(value)).alias("most")).select(by, "n", "least", *[r6(F.col("q")[k]).alias(n) for k, n in enumerate(("p50", "p95", "p99"))], "most")
+    found = exact_quantiles(rows, by, value, (0.5, 0.95, 0.99))
+    return found.select(by, "n", r6(F.col("least")).alias("least"), *[r6(F.col("q")[k]).alias(n) for k, n in enumerate(("p50", "p95", "p99"))], r6(F.col("most")).alias("most"))
 
 
 def capacity(memories: DataFrame) -> DataFrame:

@@ -138,6 +138,25 @@ def test_bm25_is_that_of_sqlite(spark):
         assert got[k] == pytest.approx(want[k], abs=1e-4)
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 500, 3000])
+def test_exact_quantiles(spark, n):
+    import numpy as np
+
+    from evimem.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(n)
+    values = np.r_[rng.lognormal(1, 2, n), np.full(n // 2, 3.0)]
+    rows = [("a", float(v)) for v in values] + [(None, 5.0), (None, float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, x double").selectExpr("*", "1 as g", "2 as v", "3 as n").repartition(3)
+    levels = (0.0, 0.25, 0.5, 0.95, 1.0)
+    got = {r["k"]: r for r in exact_quantiles(df, "k", "x", levels).collect()}
+    assert set(got) == {"a", None} and got[None]["q"] == [5.0] * 5 and got["a"]["n"] == len(values)
+    assert got["a"]["q"] == pytest.approx(list(np.quantile(values, levels)))
+    first = {r["k"]: r["q"] for r in exact_quantiles(df, "k", "x", levels, between=False).collect()}
+    assert first["a"] == pytest.approx(list(np.quantile(values, levels, method="inverted_cdf")))
+    assert exact_quantiles(df.where("false"), "k", "x", levels).collect() == []
+
+
 def test_metrics_of_one_ranking(spark):
     rows = [("q", 1, False), ("q", 2, True), ("q", 7, True), ("none", 1, False)]
     got = {r["g"]: r for r in E.ranking_metrics(spark.createDataFrame(rows, "g string, place int, relevant boolean"), "g").collect()}
