@@ -12,10 +12,13 @@ from evimem.operators.quantiles import exact_quantiles
 POSITIVE, NEGATIVE = ("helpful", "validated"), ("harmful", "corrected")
 
 
-def delivered_once(usage: DataFrame) -> DataFrame:
-    """Usage records with one row per usage_id: the one resolved last (then created last) stands; rows without id are dropped."""
+def delivered_once(usage: DataFrame, *columns: str) -> DataFrame:
+    """Usage records with one row per usage_id: the one resolved last (then created last) stands; rows without id are dropped.
+
+    Only `columns` (all without any) are read and shuffled.
+    """
     order = F.struct(F.coalesce("resolved_at", F.lit("0001-01-01").cast("timestamp_ntz")), "created_at")
-    cols = [c for c in usage.columns if c != "usage_id"]
+    cols = [c for c in columns or usage.columns if c != "usage_id"]
     return usage.where("usage_id is not null").groupBy("usage_id").agg(F.max_by(F.struct(*cols), order).alias("v")).select("usage_id", "v.*")
 
 

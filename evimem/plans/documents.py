@@ -77,4 +77,4 @@ def str_7(spark, d):
     + f", done as (select task_id, max_by(outcome, (resolved_at, usage_id)) as o from once where outcome <> 'pending' and resolved_at is not null group by 1) select usage_id, once.task_id, memory_id, coalesce(o, 'stale') as outcome_now from once left join done on done.task_id = once.task_id where outcome = 'pending' and created_at < timestamp '{AS_OF}' - interval 12 hour",
 )
 def str_3(spark, d):
-    return S.unresolved(L.delivered_once(table(spark, d, "usage_records")), F.expr(f"timestamp_ntz '{AS_OF}'"))
+    return S.unresolved(L.delivered_once(table(spark, d, "usage_records"), "task_id", "memory_id", "outcome", "created_at", "resolved_at"), F.expr(f"timestamp_ntz '{AS_OF}'"))

@@ -19,13 +19,13 @@ with once as (select * from (select *, row_number() over (partition by usage_id
 """
 
 
-def _usage(spark, d):
-    return L.delivered_once(table(spark, d, "usage_records"))
+def _usage(spark, d, *columns):
+    return L.delivered_once(table(spark, d, "usage_records"), *columns)
 
 
 @query("agg_6", ONCE + "select session_id, count(*) as offered, count(*) filter (selected) as selected, count(*) filter (used) as used, count(*) filter (outcome in ('helpful', 'validated')) as positive, count(*) filter (outcome in ('harmful', 'corrected')) as negative, count(*) filter (resolved_at is null) as unresolved from once group by session_id")
 def agg_6(spark, d):
-    return L.outcome_funnel(_usage(spark, d), "session_id")
+    return L.outcome_funnel(_usage(spark, d, "session_id", "selected", "used", "outcome", "resolved_at"), "session_id")
 
 
 @query("agg_7", "select relation, count(*) as n, count(weight) as weighted, round(avg(weight), 6) as avg_weight, cast(sum(evidence_count) as bigint) as evidence from edges group by relation")
@@ -35,7 +35,7 @@ def agg_7(spark, d):
 
 @query("agg_8", ONCE + "select cast(cast(created_at as date) as varchar) as day, outcome, count(*) as n from once group by 1, 2")
 def agg_8(spark, d):
-    return L.daily_outcomes(_usage(spark, d))
+    return L.daily_outcomes(_usage(spark, d, "created_at", "outcome"))
 
 
 @query(
@@ -44,7 +44,7 @@ def agg_8(spark, d):
     + "select task_id, count(distinct memory_id) as memories, count(distinct case when used then memory_id end) as used_memories, array_to_string(list_sort(list(distinct outcome)), ',') as outcomes, round(avg((epoch_us(once.created_at) - epoch_us(born)) / 86400000000.0), 6) as avg_age_days from once left join (select id, created_at as born from memories) m on m.id = memory_id group by task_id",
 )
 def agg_9(spark, d):
-    return L.task_rollup(_usage(spark, d), table(spark, d, "memories"))
+    return L.task_rollup(_usage(spark, d, "task_id", "memory_id", "used", "outcome", "created_at"), table(spark, d, "memories"))
 
 
 @query(
@@ -104,7 +104,7 @@ def agg_18(spark, d):
 select memory_id, n as observations, p as positive, g as negative, u as used, i as ignored, round(least(greatest((p + 1.5) / (n + 3.0) + 0.15 * u / n - 0.45 * g / n - 0.25 * i / n, 0.0), 1.0), 6) as usefulness from s""",
 )
 def agg_19(spark, d):
-    return L.context_feedback(_usage(spark, d), ["memory_id"])
+    return L.context_feedback(_usage(spark, d, "memory_id", "outcome", "used"), ["memory_id"])
 
 
 @query("agg_21", f"select topic, count(*) as n, round(sum(pow(0.5, greatest((epoch_us(timestamp '{AS_OF}') - epoch_us(last_helpful_at)) / 86400000000.0, 0.0) / 30.0)), 6) as weight from (select unnest(entities) as topic, last_helpful_at from memories where last_helpful_at is not null) group by topic")
@@ -119,7 +119,7 @@ def agg_21(spark, d):
 select source_type, n, k, round(case when n >= 4 then (k + 2.0) / (n + 4.0) else ((select sum(k) from s) + 2.0) / ((select sum(n) from s) + 4.0) end, 6) as probability from s""",
 )
 def agg_22(spark, d):
-    return L.calibration(_usage(spark, d), table(spark, d, "memories"))
+    return L.calibration(_usage(spark, d, "memory_id", "outcome"), table(spark, d, "memories"))
 
 
 @query(
@@ -129,7 +129,7 @@ def agg_22(spark, d):
 select cast(least(floor(p * 10), 9) as int) as bin, count(*) as n, round(avg(p), 6) as forecast, round(avg(y), 6) as observed, round(avg((p - y) * (p - y)), 6) as brier, round(abs(avg(p) - avg(y)), 6) as gap from s group by 1""",
 )
 def agg_23(spark, d):
-    return L.calibration_error(_usage(spark, d))
+    return L.calibration_error(_usage(spark, d, "attribution", "outcome"))
 
 
 @query(
@@ -138,12 +138,12 @@ def agg_23(spark, d):
     + ", s as (select cast(cast(created_at as date) as varchar) as day, used, cast(ceil(length(content) / 4.0) as bigint) as tokens from once join (select id, content from memories) m on m.id = memory_id where selected) select day, cast(sum(tokens) as bigint) as tokens, cast(sum(case when not used then tokens else 0 end) as bigint) as unused_tokens, round(case when sum(tokens) > 0 then sum(case when not used then tokens else 0 end) / sum(tokens) end, 6) as waste from s group by day",
 )
 def agg_24(spark, d):
-    return L.token_waste(_usage(spark, d), table(spark, d, "memories"))
+    return L.token_waste(_usage(spark, d, "memory_id", "created_at", "selected", "used"), table(spark, d, "memories"))
 
 
 @query("agg_25", ONCE + ", s as (select memory_id, count(distinct cast(created_at as date)) as days, count(distinct session_id) as sessions, count(distinct task_id) as tasks from once where outcome in ('helpful', 'validated') group by 1) select *, round((0.5 * days + 0.25 * sessions + 0.25 * tasks) / (0.5 * days + 0.25 * sessions + 0.25 * tasks + 3.0), 6) as strength from s")
 def agg_25(spark, d):
-    return L.spaced_reinforcement(_usage(spark, d))
+    return L.spaced_reinforcement(_usage(spark, d, "memory_id", "created_at", "session_id", "task_id", "outcome"))
 
 
 @query("agg_27", "select event_type as tool, user_id % 10 as context, count(*) as calls, count(*) filter (value > 50) as successes, count(distinct user_id) as contexts, count(distinct user_id) >= 2 as reinforced from events group by 1, 2")

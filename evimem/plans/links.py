@@ -27,7 +27,7 @@ SUPPORT = PAIRS + ", support as (select src_id, dst_id, count(distinct task_id)
 
 
 def _pairs(spark, d):
-    return K.used_pairs(L.delivered_once(table(spark, d, "usage_records")))
+    return K.used_pairs(L.delivered_once(table(spark, d, "usage_records"), "task_id", "memory_id", "used", "attribution", "outcome"))
 
 
 @query("jn_7", PAIRS + "select * from pairs")
@@ -52,7 +52,7 @@ def agg_3(spark, d):
 
 @query("agg_4", ONCE + ", first as (select task_id, min(created_at) as first_at from once group by 1) select task_id, first_at from first where task_id not in (select task_id from once where outcome = 'pending' and task_id is not null)")
 def agg_4(spark, d):
-    usage = L.delivered_once(table(spark, d, "usage_records"))
+    usage = L.delivered_once(table(spark, d, "usage_records"), "task_id", "created_at", "outcome")
     return usage.groupBy("task_id").agg(F.min("created_at").alias("first_at")).join(usage.where("outcome = 'pending'").select("task_id").distinct(), "task_id", "left_anti")
 
 
@@ -79,7 +79,7 @@ def jn_1(spark, d):
 def jn_2(spark, d):
     m = table(spark, d, "memories").select("id")
     # the usage side is counted before the join, so a hot memory is one row in it
-    sums = L.delivered_once(table(spark, d, "usage_records")).groupBy(F.col("memory_id").alias("id")).agg(F.count("usage_id").alias("uses"), F.count_distinct("task_id").alias("tasks"))
+    sums = L.delivered_once(table(spark, d, "usage_records"), "memory_id", "task_id").groupBy(F.col("memory_id").alias("id")).agg(F.count("usage_id").alias("uses"), F.count_distinct("task_id").alias("tasks"))
     return m.join(sums, "id", "left").fillna(0)
 
 
@@ -127,7 +127,7 @@ def jn_8(spark, d):
     + ", t as (select task_id as event, min(created_at) as at_time from once where task_id is not null group by 1), m as (select created_at, count(*) over (order by created_at) as n from memories) select event, coalesce(max(n), 0) as capacity from t asof left join (select created_at, max(n) as n from m group by 1) mm on t.at_time >= mm.created_at group by event",
 )
 def jn_9(spark, d):
-    tasks = L.delivered_once(table(spark, d, "usage_records")).where("task_id is not null").groupBy(F.col("task_id").alias("event")).agg(F.min("created_at").alias("at_time"))
+    tasks = L.delivered_once(table(spark, d, "usage_records"), "task_id", "created_at").where("task_id is not null").groupBy(F.col("task_id").alias("event")).agg(F.min("created_at").alias("at_time"))
     return K.running_count(tasks, "at_time", table(spark, d, "memories"), "created_at")
 
 
@@ -149,7 +149,7 @@ def jn_14(spark, d):
 @query("win_2", ONCE + "select * from (select task_id, memory_id, usage_id, row_number() over (partition by task_id order by score desc nulls last, usage_id) as place from once) where place <= 3")
 def win_2(spark, d):
     rank = F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc_nulls_last("score"), "usage_id"))
-    return L.delivered_once(table(spark, d, "usage_records")).select("task_id", "memory_id", "usage_id", rank.alias("place")).where("place <= 3").withColumn("place", F.col("place").cast("bigint"))
+    return L.delivered_once(table(spark, d, "usage_records"), "task_id", "memory_id", "score").select("task_id", "memory_id", "usage_id", rank.alias("place")).where("place <= 3").withColumn("place", F.col("place").cast("bigint"))
 
 
 @query("win_3", "select memory_id, version_id, state from (select *, row_number() over (partition by memory_id order by system_from desc, version_id desc) as k from memory_versions) where k = 1")

@@ -131,7 +131,7 @@ union all select task_id, 'attribution', memory_id, row_number() over (partition
 
 @query("sel_8", ONCE + f", {RANKINGS}, firsts as (select task_id, ranking, id, min(rank) as rank from rankings group by 1, 2, 3) select task_id, id, round(sum(1.0 / (60 + rank + 1)), 6) as score, count(*) as rankings from firsts group by 1, 2")
 def sel_8(spark, d):
-    usage = L.delivered_once(table(spark, d, "usage_records")).where("memory_id is not null")
+    usage = L.delivered_once(table(spark, d, "usage_records"), "task_id", "memory_id", "score", "attribution").where("memory_id is not null")
     rank = lambda c: F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc_nulls_last(c), "usage_id")) - 1
     parts = [usage.select(F.col("task_id").alias("group"), F.lit(c).alias("ranking"), F.col("memory_id").alias("id"), rank(c).alias("rank"), F.lit(1.0).alias("weight")) for c in ("score", "attribution")]
     return R.fused(parts[0].unionByName(parts[1])).withColumnRenamed("group", "task_id")
@@ -172,7 +172,7 @@ round(case when rel > 0 then dcg / list_sum(list_transform(range(1, greatest(1,
 )
 def agg_30(spark, d):
     place = F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc_nulls_last("score"), "usage_id"))
-    rows = L.delivered_once(table(spark, d, "usage_records")).where("task_id is not null").select("task_id", F.col("outcome").isin("helpful", "validated").alias("relevant"), place.alias("place"))
+    rows = L.delivered_once(table(spark, d, "usage_records"), "task_id", "score", "outcome").where("task_id is not null").select("task_id", F.col("outcome").isin("helpful", "validated").alias("relevant"), place.alias("place"))
     return E.ranking_metrics(rows, "task_id")
 
 

@@ -143,7 +143,7 @@ def set_3(spark, d):
 
 @query("sel_12", ONCE + f", p as (select usage_id, created_at from once where outcome = 'pending' and created_at < timestamp '{AS_OF}' - interval 12 hour) select usage_id from p order by created_at, usage_id limit 100")
 def sel_12(spark, d):
-    old = L.delivered_once(table(spark, d, "usage_records")).where((F.col("outcome") == "pending") & (F.col("created_at") < F.expr(f"{NOW} - interval 12 hours")))
+    old = L.delivered_once(table(spark, d, "usage_records"), "created_at", "outcome").where((F.col("outcome") == "pending") & (F.col("created_at") < F.expr(f"{NOW} - interval 12 hours")))
     return old.orderBy("created_at", "usage_id").limit(100).select("usage_id")
 
 
