@@ -109,11 +109,11 @@ def reconciled(stored: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFra
     return one.join(two, keys, "full_outer").select(*keys, action.alias("action"))
 
 
-def walk(seeds: DataFrame, edges: DataFrame, depth: int = 2, decay: float = 0.5) -> DataFrame:
-    """`seed, id, boost`: associations within `depth` steps; a step shares a node's score by edge weight, times `decay`.
+def reached(starts: DataFrame, edges: DataFrame, depth: int = 2, decay: float = 0.5) -> DataFrame:
+    """`seed, id, boost`: what `starts` (`seed, id, boost`) hand on to the records within `depth` steps; a seed's several starts add up.
 
     Contradictions are never followed; a superseded record leads to what supersedes it only; useful_together goes both ways, other
-    relations along their direction. Scores over several paths add up to 1 at most; the seed itself is left out.
+    relations along their direction. A step shares a score by edge weight, times `decay`; several paths add up to 1 at most.
     """
     known = edges.where("src_id is not null and dst_id is not null and src_id <> dst_id and relation <> 'contradicts'")
     w = F.coalesce("weight", F.lit(0.0))
@@ -121,12 +121,17 @@ def walk(seeds: DataFrame, edges: DataFrame, depth: int = 2, decay: float = 0.5)
     back = known.where("relation in ('supersedes', 'useful_together')").select(F.col("dst_id").alias("a"), F.col("src_id").alias("b"), w.alias("w"))
     steps = ahead.unionByName(back).groupBy("a", "b").agg(F.max("w").alias("w")).where("w > 0")
     shared = steps.join(steps.groupBy("a").agg(F.sum("w").alias("total")), "a").select("a", "b", (F.col("w") / F.greatest(F.col("total"), F.lit(1.0))).alias("p"))
-    at = seeds.select(F.col("seed"), F.col("seed").alias("id"), F.lit(1.0).alias("boost"))
+    at = starts.select("seed", "id", "boost")
     found = None
     for _ in range(depth):
         at = at.join(shared, at["id"] == shared["a"]).groupBy("seed", F.col("b").alias("id")).agg((F.sum(F.col("boost") * F.col("p")) * decay).alias("boost"))
         found = at if found is None else found.unionByName(at)
-    return found.where("id <> seed").groupBy("seed", "id").agg(r6(F.least(F.lit(1.0), F.sum("boost"))).alias("boost"))
+    return found.groupBy("seed", "id").agg(r6(F.least(F.lit(1.0), F.sum("boost"))).alias("boost"))
+
+
+def walk(seeds: DataFrame, edges: DataFrame, depth: int = 2, decay: float = 0.5) -> DataFrame:
+    """`seed, id, boost`: associations of each seed by itself, as `reached` from a score of 1; the seed itself is left out."""
+    return reached(seeds.select("seed", F.col("seed").alias("id"), F.lit(1.0).alias("boost")), edges, depth, decay).where("id <> seed")
 
 
 def flags(memories: DataFrame, edges: DataFrame) -> DataFrame:

@@ -98,6 +98,15 @@ def feature_rows(memories):
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "feature"))).where("place <= 160").drop("place")
 
 
+def feature_lists(records):
+    """`id, features, weights`: the rows of `feature_rows` as two arrays a record, without a shuffle: a feature's kind alone gives its weight."""
+    words = spread_out(records).select("id", F.explode(F.array(T.feature_tokens(F.col("content")))).alias("w"))
+    pairs = F.arrays_zip(F.col("w").alias("t"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("following"))
+    found = F.array_distinct(F.flatten(F.transform(pairs, lambda p: T.features(p["t"], p["following"]))))
+    ordered = F.slice(F.array_sort(F.transform(found, lambda f: F.struct((-f["weight"]).alias("less"), f["feature"].alias("feature")))), 1, 160)
+    return words.select("id", F.explode(F.array(ordered)).alias("f")).select("id", F.col("f.feature").alias("features"), F.transform("f.less", lambda x: -x).alias("weights"))
+
+
 @query("scl_6", f"with {FEATURES} select * from feats")
 def scl_6(spark, d):
     return feature_rows(table(spark, d, "memories").select("id", "content"))
