@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,6 +148,68 @@ def valid_periods(feed: DataFrame) -> DataFrame:
     return rows.mapInPandas(_periods(lasts, heads), "memory_id string, version_id bigint, ended_by bigint")
 
 
+_PIECE = ("memory_id", "version_id", "valid_from", "valid_to", "recorded_from", "recorded_to")
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pieces of recordings that come by memory in the order they were recorded."""
+    memory, starts, open_, out = None, [], {}, []
+
+    def close(start: int, at: int) -> None:
+        version, _, valid_to, since = open_[start]
+        if since < at:
+            out.append((memory, version, start, valid_to, since, at))
+
+    def finish() -> None:
+        out.extend((memory, version, start, valid_to, since, _OPEN) for start, (version, _, valid_to, since) in open_.items())
+
+    for b in batches:
+        for m, start, stop, version, at in zip(b["memory_id"], b["start"].tolist(), b["stop"].tolist(), b["version_id"].tolist(), b["at"].tolist(), strict=True):
+            if m != memory:
+                finish()
+                memory, starts, open_ = m, [], {}
+            k = bisect_left(starts, start)
+            if start in open_:
+                close(start, at)
+            else:
+                if k and open_[starts[k - 1]][2] > start:
+                    before = starts[k - 1]
+                    close(before, at)
+                    version_, stop_, _, since = open_[before]
+                    open_[before] = (version_, stop_, start, max(since, at))
+                starts.insert(k, start)
+            ahead = starts[k + 1] if k + 1 < len(starts) else _OPEN
+            open_[start] = (version, stop, min(stop, ahead), at)
+        if out:
+            yield pd.DataFrame(out, columns=_PIECE)
+            out.clear()
+    finish()
+    if out:
+        yield pd.DataFrame(out, columns=_PIECE)
+
+
+def ledger(feed: DataFrame) -> DataFrame:
+    """What was believed when: `memory_id, version_id, valid_from, valid_to, recorded_from, recorded_to`, null for an open end.
+
+    From `recorded_from` until `recorded_to` the version was believed to hold from `valid_from` until `valid_to`. A recording of the
+    same start closes the one before; one of a start in between, recorded late, closes the piece it falls into and opens that piece's
+    rest, cut at the new start. So a feed row gives two pieces at most. Recorded times follow from the recordings themselves, as
+    the feed's system_to is missing or wrong; nothing is believed for no time. The open pieces (`recorded_to` null) are those
+    that `valid_periods` merges by wording and state. A memory's recordings are swept by one task, in the order they were made.
+    """
+    start = start_of()
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    rows = (
+        feed.select("memory_id", micros(start).alias("start"), F.coalesce(F.when(F.col("valid_to") > start, micros(F.col("valid_to"))), F.lit(_OPEN)).alias("stop"), "version_id", micros(F.col("system_from")).alias("at"))
+        .where("memory_id is not null and version_id is not null and start is not null and at is not null")
+        .distinct()
+    )
+    swept = rows.repartition(partitions_for(feed), "memory_id").sortWithinPartitions("memory_id", "at", "version_id", "start", "stop")
+    found = swept.mapInPandas(_pieces, "memory_id string, version_id bigint, valid_from bigint, valid_to bigint, recorded_from bigint, recorded_to bigint")
+    time = lambda c: F.timestamp_micros(F.when(F.col(c) < _OPEN, F.col(c))).cast("timestamp_ntz").alias(c)
+    return found.select("memory_id", "version_id", *map(time, _PIECE[2:]))
+
+
 def attribute_history(versions: DataFrame, key: str, value: Column, start: Column, recorded: Column, tie: Column) -> DataFrame:
     """The independent change history of one attribute: `key, value, start, recorded, tie`; rows without key or start are left out."""
     return versions.select(F.col(key), value.alias("value"), start.alias("start"), recorded.alias("recorded"), tie.alias("tie")).where(F.col(key).isNotNull() & F.col("start").isNotNull() & F.col("recorded").isNotNull())

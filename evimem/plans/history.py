@@ -14,6 +14,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return history.valid_periods(table(spark, folder, "memory_versions"))
 
 
+def p1_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    return history.ledger(table(spark, folder, "memory_versions"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return history.retrieved_versions(table(spark, folder, "memories"), table(spark, folder, "memory_versions"))
 
@@ -32,5 +36,5 @@ from (select id, last_retrieved_at from memories where last_retrieved_at is not
 left join (select memory_id, content, state from m where rn = 1) k on k.memory_id = e.id
 """
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_attributes": p5_attributes}
+QUERIES = {"p1_found": p1_found, "p1_ledger": p1_ledger, "p5_found": p5_found, "p5_attributes": p5_attributes}
 SQL = {"p1_found": P1, "p5_found": P5, "p5_attributes": P5_ATTRIBUTES}
