@@ -222,6 +222,11 @@ def sentences(text: Column) -> Column:
     return F.split(normalized(text), r"(?<=[.!?])\s+|\s*;\s*")
 
 
+def parts(text: Column, most: int = 6, least: int = 12) -> Column:
+    """The first `most` sentences and clauses of at least `least` characters; shorter ones do not count."""
+    return F.slice(F.filter(F.transform(sentences(text), lambda s: F.trim(s)), lambda s: F.length(s) >= least), 1, most)
+
+
 def statement(sentence: Column) -> Column:
     """Kind, importance, confidence and volatility of a user's sentence that is worth keeping, else null."""
     explicit = has(sentence, EXPLICIT)

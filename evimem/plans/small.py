@@ -102,6 +102,13 @@ def scl_26(spark, d):
     return table(spark, d, "memories").select("id", parts).select("id", F.col("k").cast("bigint").alias("place"), F.trim("s").alias("part")).where("length(part) >= 12 and place < 6")
 
 
+@query("scl_26_all", f"with {SENTENCES}, n as (select id, s, row_number() over (partition by id order by k) - 1 as place from sents where length(s) >= 12) select id, place, s as part from n where place < 6")
+def scl_26_all(spark, d):
+    """The first six parts of a text; scl_26, as its SQL, looks at the first six sentences only, short ones among them."""
+    rows = table(spark, d, "memories").select("id", F.posexplode(T.parts(F.col("content"))).alias("place", "part"))
+    return rows.select("id", F.col("place").cast("bigint").alias("place"), "part")
+
+
 @query("scl_39", f"select id, round(least(greatest(0.15 * least(retrieved_count, 5) + 0.30 * least(helpful_count, 5) - 0.50 * least(harmful_count, 5), 0.0), 1.0) * pow(0.995, greatest((epoch_us(timestamp '{AS_OF}') - epoch_us(updated_at)) / 86400000000.0, 0.0)), 6) as strength from memories")
 def scl_39(spark, d):
     n = lambda c: F.least(F.col(c), F.lit(5))
