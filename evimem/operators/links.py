@@ -33,6 +33,30 @@ def gated(support: DataFrame, least: int = 2) -> DataFrame:
     return support.where((F.col("helpful") > 0) | (F.col("witnesses") >= max(3, least))).withColumn("increment", r6(add))
 
 
+def similarity(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """`pairs` (`src_id, dst_id` and more) with the `similarity` of both records' features (`id, features, weights`), 0 where one has none.
+
+    Shared weight, summed over the smaller weights, by the lighter record's whole weight (1 at least). Different pairs meet the features once.
+    """
+    maps = features.select("id", F.map_from_arrays("features", "weights").alias("m"), F.aggregate("weights", F.lit(0.0), lambda acc, w: acc + w).alias("total"))
+    ends = lambda side: maps.select(F.col("id").alias(f"{side}_id"), F.col("m").alias(f"{side}_m"), F.col("total").alias(f"{side}_t"))
+    both = pairs.select("src_id", "dst_id").distinct().join(ends("src"), "src_id", "left").join(ends("dst"), "dst_id", "left")
+    shared = F.aggregate(F.map_keys("src_m"), F.lit(0.0), lambda acc, k: acc + F.least(F.element_at("src_m", k), F.coalesce(F.element_at("dst_m", k), F.lit(0.0))))
+    total = F.greatest(F.lit(1.0), F.least(F.coalesce("src_t", F.lit(0.0)), F.coalesce("dst_t", F.lit(0.0))))
+    found = both.select("src_id", "dst_id", r6(F.least(F.lit(1.0), F.coalesce(shared, F.lit(0.0)) / total)).alias("similarity"))
+    return pairs.join(found, ["src_id", "dst_id"])
+
+
+def alike(support: DataFrame, least: float = 0.35) -> DataFrame:
+    """Of associations with their `similarity`, those with a helpful witness and those of records that are alike."""
+    return support.where((F.col("helpful") > 0) | (F.col("similarity") >= least))
+
+
+def replay_score(a: Column, b: Column, similarity: Column) -> Column:
+    """The weaker record's score, a quarter of it by likeness, .05 at least."""
+    return r6(F.greatest(F.lit(0.05), F.least(a, b) * (0.75 + 0.25 * similarity)))
+
+
 def conflicting_groups(claims: DataFrame, keys: list[str], value: str, most: int = 50) -> DataFrame:
     """Groups of claims with more than one and at most `most` different values."""
     return claims.groupBy(*keys).agg(F.count("*").alias("claims"), F.count_distinct(value).alias("distinct_values")).where((F.col("distinct_values") > 1) & (F.col("distinct_values") <= most))

@@ -10,6 +10,8 @@ from evimem.operators import ledger as L
 from evimem.operators import links as K
 from evimem.plans.ledger import ONCE
 from evimem.plans.registering import AS_OF, registrar
+from evimem.plans.text import feature_lists
+from evimem.session import written
 from evimem.sources.tables import table
 
 QUERIES: dict = {}
@@ -45,6 +47,19 @@ def agg_2(spark, d):
     return K.gated(K.association_support(_pairs(spark, d)))
 
 
+def likened(pairs, memories):
+    """`pairs` with the likeness of their records; features are made once, and of records that are in a pair only."""
+    pairs = written(pairs, "pairs")
+    named = pairs.select(F.explode(F.array("src_id", "dst_id")).alias("id")).distinct()
+    return K.similarity(pairs, written(feature_lists(memories.select("id", "content").join(named, "id", "left_semi")), "features"))
+
+
+@query("agg_2_all")
+def agg_2_all(spark, d):
+    """agg_2 with the reference's second gate: without a helpful witness the records must be alike. Features have no short SQL; it is tested."""
+    return K.alike(likened(K.gated(K.association_support(_pairs(spark, d))), table(spark, d, "memories")))
+
+
 @query("agg_3", "select o_custkey, o_orderpriority, count(*) as claims, count(distinct o_orderstatus) as distinct_values from orders group by 1, 2 having count(distinct o_orderstatus) between 2 and 50")
 def agg_3(spark, d):
     return K.conflicting_groups(table(spark, d, "orders"), ["o_custkey", "o_orderpriority"], "o_orderstatus")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from evimem.functions import text as T
 from evimem.functions.numbers import clamp, days_between, r6
 from evimem.operators import ledger as L
+from evimem.operators import links as K
 from evimem.operators import retrieval as R
 from evimem.plans.ledger import ONCE
-from evimem.plans.links import PAIRS, _pairs
+from evimem.plans.links import PAIRS, _pairs, likened
 from evimem.plans.registering import AS_OF, registrar
 from evimem.plans.text import NORMAL, SENTENCES, STOPS
 from evimem.sources.tables import table
@@ -129,6 +130,14 @@ def scl_42(spark, d):
     return _pairs(spark, d).join(one, "src_id").join(two, "dst_id").select("task_id", "src_id", "dst_id", r6(F.greatest(F.lit(0.05), F.least("a", "b") * 0.75)).alias("score"))
 
 
+@query("scl_42_all")
+def scl_42_all(spark, d):
+    """scl_42 with the likeness of the two records, whose part of the score scl_42 and its SQL leave out."""
+    m = table(spark, d, "memories")
+    one, two = m.select(F.col("id").alias("src_id"), F.col("confidence").alias("a")), m.select(F.col("id").alias("dst_id"), F.col("confidence").alias("b"))
+    return likened(_pairs(spark, d), m).join(one, "src_id").join(two, "dst_id").select("task_id", "src_id", "dst_id", K.replay_score(F.col("a"), F.col("b"), F.col("similarity")).alias("score"))
+
+
 @query("scl_44", "select id, concat_ws(' · ', source_type, case when approval_state <> 'unreviewed' then replace(approval_state, '_', ' ') end, case when pinned then 'pinned' end, strftime(observed_at, '%Y-%m-%d')) as label from memories")
 def scl_44(spark, d):
     parts = ["source_type", F.when(F.col("approval_state") != "unreviewed", F.replace("approval_state", F.lit("_"), F.lit(" "))), F.when(F.col("pinned"), "pinned"), F.date_format("observed_at", "yyyy-MM-dd")]
