@@ -157,6 +157,13 @@ def spaced_reinforcement(usage: DataFrame) -> DataFrame:
     return sums.withColumn("strength", r6(spread / (spread + 3.0)))
 
 
+def rehearsal(usage: DataFrame) -> DataFrame:
+    """`id, spaced, unused` of each used or selected memory: strength of spaced helpful use, and how often it was selected and not used."""
+    spaced = spaced_reinforcement(usage).select("memory_id", F.col("strength").alias("spaced"))
+    unused = usage.groupBy("memory_id").agg(F.count_if(F.col("selected") & ~F.coalesce("used", F.lit(False))).alias("unused"))
+    return unused.where("memory_id is not null").join(spaced, "memory_id", "left").select(F.col("memory_id").alias("id"), F.coalesce("spaced", F.lit(0.0)).alias("spaced"), "unused")
+
+
 def tool_statistics(events: DataFrame) -> DataFrame:
     """Tool calls by tool and user group: calls, successes, distinct contexts; reinforced from two contexts on."""
     user = F.col("user_id") % 10

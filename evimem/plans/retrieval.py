@@ -94,6 +94,17 @@ def scl_16(spark, d):
     return _signals(table(spark, d, "memories")).select("id", "activation", "utility", "source_reliability", "currentness", "memory_type", "stale_risk", "wrong_rate")
 
 
+def _rehearsed(spark, d, memories):
+    usage = L.delivered_once(table(spark, d, "usage_records"), "memory_id", "created_at", "session_id", "task_id", "outcome", "selected", "used")
+    return memories.join(L.rehearsal(usage), "id", "left")
+
+
+@query("scl_16_all")
+def scl_16_all(spark, d):
+    """scl_16 with spaced use and unused selections in the activation, which scl_16 and its SQL leave out."""
+    return _signals(_rehearsed(spark, d, table(spark, d, "memories"))).select("id", "activation", "utility", "source_reliability", "currentness", "memory_type", "stale_risk", "wrong_rate")
+
+
 SCORED = f"""
 marks as (select id, id in (select dst_id from edges where relation = 'supersedes' and dst_id is not null) as superseded, id in (select unnest([src_id, dst_id]) from edges where relation = 'contradicts') as contradicted from memories),
 joined as (select l.query_id, l.id, l.lexical, l.n_query, s.* exclude (id), m.superseded, m.contradicted, coalesce(s.project = d.project, false) as same,
@@ -131,7 +142,7 @@ def searched(spark, d):
     )
     groups = L.admitted_groups(table(spark, d, "memories")).where("admitted")
     sources = (R.bm25(asked, records).select("query_id", "id", "rank"), featured, R.by_project(asked, scoped), R.by_neighborhood(asked, scoped, groups), R.due(asked, live, F.expr(NOW)))
-    signals, marks = _signals(live).drop("content"), K.flags(table(spark, d, "memories"), edges)
+    signals, marks = _signals(_rehearsed(spark, d, live)).drop("content"), K.flags(table(spark, d, "memories"), edges)
     score = lambda c: R.weighted(R.lexical(R.matched_words(c, asked, records)).join(signals, "id").join(marks, "id", "left")).select("query_id", "id", "kind", "pinned", "score")
     # texts are joined again at the end, so that only slim rows are written
     first = written(score(R.united(*sources)), "scored")
