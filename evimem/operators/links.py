@@ -6,20 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evimem.functions.numbers import r6
+from evimem.functions.skew import hot_keys, salt, spread
 
 #: Most used memories of a task that are paired with each other.
 MOST_PAIRED = 10
 
 
-def used_pairs(usage: DataFrame, most: int = MOST_PAIRED) -> DataFrame:
-    """`task_id, src_id, dst_id, helpful`: pairs (src < dst) of the up to `most` best attributed memories used in a task.
+def used_pairs(usage: DataFrame, most: int | None = MOST_PAIRED, ways: int = 32) -> DataFrame:
+    """`task_id, src_id, dst_id, helpful`: pairs (src < dst) of the up to `most` best attributed memories used in a task, or of all.
 
-    The cap is the feature: a task pairs its `most` leading memories, so a task with many rows gives a bounded number.
+    With a cap, as direct co-use edges have it, a task with many rows gives a bounded number. Without one, as association evidence is
+    counted, hot tasks are salted, so that no task of the job makes all pairs of one.
     """
     per = usage.where("used and memory_id is not null and task_id is not null").groupBy("task_id", "memory_id").agg(F.max("attribution").alias("attribution"), F.max(F.col("outcome").isin("helpful", "validated")).alias("helpful"))
-    top = per.withColumn("rn", F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("attribution"), "memory_id"))).where(F.col("rn") <= most)
-    one, two = top.select("task_id", F.col("memory_id").alias("src_id"), F.col("helpful").alias("h1")), top.select("task_id", F.col("memory_id").alias("dst_id"), F.col("helpful").alias("h2"))
-    return one.join(two, "task_id").where("src_id < dst_id").select("task_id", "src_id", "dst_id", (F.col("h1") & F.col("h2")).alias("helpful"))
+    hot = []
+    if most is None:
+        hot = hot_keys(per, "task_id", floor=1000)
+    else:
+        per = per.withColumn("rn", F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("attribution"), "memory_id"))).where(F.col("rn") <= most)
+    one = per.select("task_id", F.col("memory_id").alias("src_id"), F.col("helpful").alias("h1")).withColumn("_salt", salt("task_id", hot, F.col("src_id"), ways))
+    two = spread(per.select("task_id", F.col("memory_id").alias("dst_id"), F.col("helpful").alias("h2")), "task_id", hot, ways)
+    return one.join(two, ["task_id", "_salt"]).where("src_id < dst_id").select("task_id", "src_id", "dst_id", (F.col("h1") & F.col("h2")).alias("helpful"))
 
 
 def association_support(pairs: DataFrame, least: int = 2) -> DataFrame:
@@ -57,9 +64,9 @@ def replay_score(a: Column, b: Column, similarity: Column) -> Column:
     return r6(F.greatest(F.lit(0.05), F.least(a, b) * (0.75 + 0.25 * similarity)))
 
 
-def conflicting_groups(claims: DataFrame, keys: list[str], value: str, most: int = 50) -> DataFrame:
-    """Groups of claims with more than one and at most `most` different values."""
-    return claims.groupBy(*keys).agg(F.count("*").alias("claims"), F.count_distinct(value).alias("distinct_values")).where((F.col("distinct_values") > 1) & (F.col("distinct_values") <= most))
+def conflicting_groups(claims: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Groups of claims with more than one different value."""
+    return claims.groupBy(*keys).agg(F.count("*").alias("claims"), F.count_distinct(value).alias("distinct_values")).where("distinct_values > 1")
 
 
 def interference(claims: DataFrame, keys: list[str], key: str, value: str, score: str, top: int = 8) -> DataFrame:

@@ -28,13 +28,14 @@ pairs as (select a.task_id, a.memory_id as src_id, b.memory_id as dst_id, a.help
 SUPPORT = PAIRS + ", support as (select src_id, dst_id, count(distinct task_id) as witnesses, count(distinct case when helpful then task_id end) as helpful from pairs group by 1, 2 having count(distinct task_id) >= 2)"
 
 
-def _pairs(spark, d):
-    return K.used_pairs(L.delivered_once(table(spark, d, "usage_records"), "task_id", "memory_id", "used", "attribution", "outcome"))
+def _pairs(spark, d, most=None):
+    """All pairs of a task; SQL pairs ten memories of a task at most, which is the same where no task uses more."""
+    return K.used_pairs(L.delivered_once(table(spark, d, "usage_records"), "task_id", "memory_id", "used", "attribution", "outcome"), most)
 
 
 @query("jn_7", PAIRS + "select * from pairs")
 def jn_7(spark, d):
-    return _pairs(spark, d)
+    return _pairs(spark, d, K.MOST_PAIRED)
 
 
 @query("agg_1", SUPPORT + " select * from support")
@@ -158,7 +159,7 @@ STORED = "stored as (select distinct least(src_id, dst_id) as src_id, greatest(s
 @query("jn_14", PAIRS + f", {STORED}, wanted as (select distinct src_id, dst_id from pairs) select coalesce(s.src_id, w.src_id) as src_id, coalesce(s.dst_id, w.dst_id) as dst_id, case when s.src_id is null then 'add' when w.src_id is null then 'remove' else 'keep' end as action from stored s full outer join wanted w on s.src_id = w.src_id and s.dst_id = w.dst_id")
 def jn_14(spark, d):
     stored = table(spark, d, "edges").where("relation = 'co_used'").select(F.least("src_id", "dst_id").alias("src_id"), F.greatest("src_id", "dst_id").alias("dst_id"))
-    return K.reconciled(stored, _pairs(spark, d), ["src_id", "dst_id"])
+    return K.reconciled(stored, _pairs(spark, d, K.MOST_PAIRED), ["src_id", "dst_id"])
 
 
 @query("win_2", ONCE + "select * from (select task_id, memory_id, usage_id, row_number() over (partition by task_id order by score desc nulls last, usage_id) as place from once) where place <= 3")
