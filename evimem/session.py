@@ -27,10 +27,12 @@ def build_session(app: str = "evimem", master: str | None = None, partitions: in
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set where none is (tests on one machine)."""
+    """The folder of spark.checkpoint.dir. Where none is set, a temporary one serves on one machine; a cluster must name its shared folder."""
     sc = spark.sparkContext
     have = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not have and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(have or f"file://{tempfile.mkdtemp(prefix='evimem-')}")
     return have or sc._jsc.sc().getCheckpointDir().get()
 
@@ -44,8 +46,20 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written as a compressed table in the shared folder and read back (partitioning and order of rows are not kept)."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._written_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made, once nothing reads them any more; other tables stay."""
+    for df in tables:
+        path = getattr(df, "_written_at", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def partitions_for(df: DataFrame, least: int = 1) -> int:
@@ -54,7 +68,6 @@ def partitions_for(df: DataFrame, least: int = 1) -> int:
 
 
 
-
 def spread_out(df: DataFrame) -> DataFrame:
     """`df` over all cores, for work that costs far more than moving the rows: a table of fewer partitions than cores is split, others stay."""
     cores = df.sparkSession.sparkContext.defaultParallelism
