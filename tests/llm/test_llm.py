@@ -167,25 +167,44 @@ def sequence(t):
     return "".join(c for c in (t or "").lower() if c.isalnum())
 
 
-@pytest.mark.parametrize("seed, n, vocabulary, rare, large", [(1, 120, 60, 64, 2000), (2, 150, 400, 3, 2000), (3, 120, 40, 1, 12)])
-def test_similar_pairs_are_all_found(spark, seed, n, vocabulary, rare, large):
+@pytest.mark.parametrize("seed, n, vocabulary, aim, share", [(1, 120, 60, 200, 0.7), (2, 150, 400, 3, 0.7), (3, 120, 40, 1, 0.7), (4, 120, 60, 1, 0.5), (5, 120, 30, 4, 0.34), (6, 120, 60, 1, 0.9)])
+def test_similar_pairs_are_all_found(spark, seed, n, vocabulary, aim, share):
     rows = texts_with_copies(seed, n, vocabulary)
-    kept = neardup.RARE, neardup.PAIRS
-    neardup.RARE, neardup.PAIRS = rare, large
+    rows += [("s1", "one"), ("s2", "one two"), ("s3", "one two three four"), ("s4", "two one"), ("s5", "w1"), ("s6", "w1 w2")]
+    kept, neardup.LIST = neardup.LIST, aim
     try:
-        df = spark.createDataFrame(rows, "id string, content string").selectExpr("*", "1 as words", "2 as key", "3 as record")
-        got = [tuple(r) for r in neardup.similar_pairs(df, "id", "content", 0.7).collect()]
+        df = spark.createDataFrame(rows, "id string, content string").selectExpr("*", "1 as words", "2 as key", "3 as record", "4 as set", "5 as canon")
+        got = [tuple(r) for r in neardup.similar_pairs(df, "id", "content", share).collect()]
     finally:
-        neardup.RARE, neardup.PAIRS = kept
+        neardup.LIST = kept
     want = set()
     for i, (a, x) in enumerate(rows):
         for b, y in rows[i + 1 :]:
             p, q = word_set(x), word_set(y)
-            if p and q and len(p & q) >= 0.7 * len(p | q) - 1e-9 and sequence(x) != sequence(y):
+            if p and q and len(p & q) >= share * len(p | q) - 1e-9 and sequence(x) != sequence(y):
                 want.add((min(a, b), max(a, b)))
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_similar_pairs_of_odd_tables(spark):
+    schema = "id string, content string"
+    assert neardup.similar_pairs(spark.createDataFrame([], schema), "id", "content").collect() == []
+    df = spark.createDataFrame([("a", None), ("b", ""), ("c", "…"), (None, "one two"), ("d", "one two"), ("e", "two one"), ("e", "two one")], schema)
+    assert sorted(tuple(r) for r in neardup.similar_pairs(df, "id", "content").collect()) == [("d", "e"), ("d", "e")]
+
+
+def test_hot_signatures_are_salted(spark):
+    rows = texts_with_copies(7, 100, 40)
+    df = spark.createDataFrame(rows, "id string, content string")
+    plain = {tuple(r) for r in neardup.similar_pairs(df, "id", "content").collect()}
+    kept, neardup.hot_keys = neardup.hot_keys, lambda rows, key, *_: [r[0] for r in rows.select(key).distinct().limit(200).collect()]
+    try:
+        salted = [tuple(r) for r in neardup.similar_pairs(df, "id", "content").collect()]
+    finally:
+        neardup.hot_keys = kept
+    assert set(salted) == plain and len(salted) == len(plain) > 10
+
+
 def test_groups(spark):
     a = "one two three four five six seven eight nine ten"
     rows = [("a", a), ("b", a + " eleven"), ("c", a + " eleven twelve"), ("d", a + " eleven twelve x y"), ("e", a.upper()), ("f", "nothing like it"), ("g", None)]
