@@ -21,6 +21,8 @@ SLICE = 1 << 16
 #: Tasks over which the rows of a hot key are spread.
 WAYS = 32
 
+# what a list begins with, if it begins with a named field or a brace; other texts need no closer look
+_FIRST = r"^(?:\s*\{|[^\p{L}\p{N}]*[\p{L}\p{N}_]+[^\p{L}\p{N}:=]*[:=])"
 _ITEM = r"(?s)^[^\p{L}\p{N}]*([\p{L}\p{N}_]+)[^\p{L}\p{N}:=]*[:=](.*)$"
 
 
@@ -41,7 +43,7 @@ def fields(text: Column) -> Column:
     parts = F.filter(F.split(plain, r"\n|\s\|\s|;\s"), lambda p: p.rlike(r"[\p{L}\p{N}]"))
     named = F.forall(parts, lambda p: p.rlike(_ITEM)) & (F.size(parts) >= 2)
     of_parts = F.when(named, F.transform(parts, lambda p: F.concat(letters(F.regexp_extract(p, _ITEM, 1)), F.lit("="), letters(F.regexp_extract(p, _ITEM, 2)))))
-    return F.array_sort(F.coalesce(F.when(F.size(of_json) > 0, of_json), of_parts))
+    return F.when(text.rlike(_FIRST), F.array_sort(F.coalesce(F.when(F.size(of_json) > 0, of_json), of_parts)))
 
 
 def keyed(df: DataFrame, key: str, text: str) -> DataFrame:

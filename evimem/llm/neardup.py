@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evimem.functions.skew import hot_keys, salt, spread
-from evimem.llm.copies import WAYS, fields, letters
+from evimem.llm.copies import WAYS, fields
 from evimem.session import discard, spread_out, written
 
 #: Buckets of the frequency sketch that orders words; its size does not depend on the data.
@@ -24,9 +24,9 @@ FRAGMENTS = (1, 6, 3, 2)
 PARTS = 4
 
 
-def words(text: Column) -> Column:
+def words(runs: Column) -> Column:
     """The set of words (runs of letters and digits, lower-cased), sorted, between blanks."""
-    return F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1))), " ")
+    return F.array_join(F.array_sort(F.array_distinct(F.split(F.lower(F.array_join(runs, " ")), " "))), " ")
 
 
 def hashed(joined: Column) -> Column:
@@ -148,16 +148,21 @@ def _signed(order, share: float):
         for b in batches:
             size = b["hashes"].str.len().to_numpy(np.int64)
             h = np.concatenate([np.asarray(x, np.int64) for x in b["hashes"]]) if len(b) else np.zeros(0, np.int64)
-            row, sig, gain = signatures(np.repeat(np.arange(len(b)), size), size, h, order.value, share)
+            of = np.repeat(np.arange(len(b)), size)
+            low, high = _bits(h, of, len(b))
+            row, sig, gain = signatures(of, size, h, order.value, share)
             small = size - needed(size, size, share)  # words that a set may lack in common with a larger one
-            yield pd.DataFrame({"id": b["id"].to_numpy()[row], "bits": b["bits"].to_numpy()[row], "sig": sig, "facts": size[row] << 32 | gain << 1 | (gain <= small[row])})
+            yield pd.DataFrame({"id": b["id"].to_numpy()[row], "low": low[row], "high": high[row], "sig": sig, "facts": size[row] << 32 | gain << 1 | (gain <= small[row])})
 
     return run
 
 
-def _bits(hashes: Column) -> Column:
-    """A bit map of 64 bits in which each word sets one."""
-    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftright(w, 30), F.lit(64)).cast("int"))))
+def _bits(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two halves of a bit map of 128 bits in which each word sets one, for each of n sets."""
+    maps = np.zeros((2, n), np.uint64)
+    at = h.view(np.uint64) >> np.uint64(30)
+    np.bitwise_or.at(maps, ((at >> np.uint64(6)).astype(np.int64) & 1, row), np.uint64(1) << (at & np.uint64(63)))
+    return maps[0].view(np.int64), maps[1].view(np.int64)
 
 
 def _parted(order):
@@ -181,15 +186,15 @@ def _need(n: str, m: str, share: float) -> Column:
 
 def candidates(sets: DataFrame, order, share: float) -> DataFrame:
     """`a, b, n_a, n_b`: pairs of sets that share a signature and that sizes, gains and bit maps do not rule out."""
-    made = sets.select("id", hashed(F.col("words")).alias("hashes")).withColumn("bits", _bits(F.col("hashes")))
-    rows = written(made.mapInPandas(_signed(order, share), "id bigint, bits bigint, sig bigint, facts bigint"), "signatures")
+    made = spread_out(sets.select("id", hashed(F.col("words")).alias("hashes")))
+    rows = written(made.mapInPandas(_signed(order, share), "id bigint, low bigint, high bigint, sig bigint, facts bigint"), "signatures")
     hot = hot_keys(rows, "sig", 1 / 4096, 4096)
-    parts = lambda df, k: df.select("sig", "_salt", F.col("id").alias(f"id{k}"), F.col("bits").alias(f"bits{k}"), F.shiftright("facts", 32).cast("int").alias(f"n{k}"), F.shiftright(F.col("facts").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int").alias(f"gain{k}"))
+    parts = lambda df, k: df.select("sig", "_salt", F.col("id").alias(f"id{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("low", "high")], F.shiftright("facts", 32).cast("int").alias(f"n{k}"), F.shiftright(F.col("facts").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int").alias(f"gain{k}"))
     probe = parts(rows.withColumn("_salt", salt("sig", hot, F.col("id"), WAYS)), 1)
     index = parts(spread(rows.where(F.col("facts").bitwiseAND(F.lit(1)) == 1), "sig", hot, WAYS), 2)
     # the larger set of a pair probes; ids decide between equal sizes
     need = _need("n1", "n2", share)
-    missing, lacking = (F.bit_count(F.col(f"bits{x}").bitwiseAND(F.bitwise_not(f"bits{y}"))) for x, y in ((1, 2), (2, 1)))
+    missing, lacking = (sum(F.bit_count(F.col(f"{c}{x}").bitwiseAND(F.bitwise_not(f"{c}{y}"))) for c in ("low", "high")) for x, y in ((1, 2), (2, 1)))
     ahead = (F.col("n1") > F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("id1") > F.col("id2")))
     fits = (F.col("n2") >= need) & (F.col("gain1") <= F.col("n1") - need) & (F.col("gain2") <= F.col("n2") - need) & (missing <= F.col("n1") - need) & (lacking <= F.col("n2") - need)
     pairs = probe.join(index, ["sig", "_salt"]).where(ahead & fits)
@@ -225,8 +230,11 @@ def similar_sets(sets: DataFrame, share: float) -> DataFrame:
 
 def _sets(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """The members (`key, set, sequence, record`) of all texts with words, and their different word sets (`id, set, words`)."""
-    rows = spread_out(df.select(F.col(key), F.col(text))).select(F.col(key).alias("key"), words(F.col(text)).alias("words"), F.md5(letters(F.col(text))).alias("sequence"), F.md5(F.array_join(fields(F.col(text)), "\n")).alias("record")).where("key is not null and words <> ''")
-    rows = written(rows.select("key", F.unhex(F.md5("words")).alias("set"), "words", F.unhex("sequence").alias("sequence"), F.unhex("record").alias("record")), "rows")
+    runs = F.regexp_extract_all(F.col(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    found = spread_out(df.select(F.col(key), F.col(text))).select(F.col(key).alias("key"), F.col(text).alias("text"), runs.alias("runs")).where("key is not null and size(runs) > 0")
+    digest = lambda c: F.unhex(F.md5(c))
+    rows = found.select("key", words(F.col("runs")).alias("words"), digest(F.lower(F.array_join("runs", ""))).alias("sequence"), digest(F.array_join(fields(F.col("text")), "\n")).alias("record"))
+    rows = written(rows.withColumn("set", digest("words")), "rows")
     sets = rows.groupBy("set").agg(F.first("words").alias("words"))
     return rows.drop("words"), written(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
 
