@@ -86,20 +86,37 @@ def test_retrieved_versions(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
-def test_salted_match_is_the_same(spark):
+def test_many_events_of_a_hot_key(spark):
     from pyspark.sql import functions as F
 
-    rows = feed(6, 200, 4)
-    v = spark.createDataFrame(rows, SCHEMA)
-    events = spark.createDataFrame([("hot", T0 + timedelta(days=8)), ("m1", T0 + timedelta(days=3))], "memory_id string, at timestamp_ntz")
+    rng = random.Random(3)
+    rows = [(k, "hot" if rng.random() < 0.7 else f"m{k % 5}", rng.choice("abc"), 0.5, None, rng.choice([None, T0 + timedelta(hours=rng.randint(0, 400))]), None, T0 + timedelta(hours=rng.randint(0, 400)), None, None) for k in range(600)]
+    events = [("hot", T0 + timedelta(hours=h)) for h in range(-3, 410)] + [("m1", T0 + timedelta(hours=90)), ("m1", T0 + timedelta(hours=90)), ("none", T0), (None, T0), ("m2", None)]
+    v = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    e = spark.createDataFrame(events, "memory_id string, at timestamp_ntz").repartition(3)
     history = H.attribute_history(v, "memory_id", F.col("content"), H.start_of(), F.col("system_from"), F.col("version_id"))
-    plain = {tuple(r) for r in H.last_known(events, history, "memory_id").collect()}
-    kept, H.hot_keys = H.hot_keys, lambda *a, **k: ["hot"]
-    try:
-        salted = {tuple(r) for r in H.last_known(events, history, "memory_id").collect()}
-    finally:
-        H.hot_keys = kept
-    assert plain == salted and len(plain) == 2
+    want = {}
+    for m, t in events:
+        known = [r for r in rows if r[1] == m and t and r[7] <= t and (r[5] or r[7]) <= t]
+        if known:
+            best = max(known, key=lambda r: (r[5] or r[7], r[7], r[0]))
+            want[m, t] = (best[2], best[0])
+    got = H.last_known(e, {"all": history}, "memory_id").collect()
+    assert {(r["memory_id"], r["at"]): (r["value"], r["tie"]) for r in got} == want and len(got) == len(want)
+    # without the rows that change nothing the values are the same
+    short = H.changes(history, "memory_id")
+    assert short.count() < history.count()
+    assert {(r["memory_id"], r["at"]): r["value"] for r in H.last_known(e, {"all": short}, "memory_id").collect()} == {k: x for k, (x, _) in want.items()}
+
+
+def test_ended_attributes_are_null(spark):
+    rows = [(1, "m", "a", 0.5, "x", T0, T0 + timedelta(days=2), T0, None, None), (2, "m", None, 0.5, "y", T0 + timedelta(days=1), None, T0 + timedelta(days=1), None, None)]
+    events = spark.createDataFrame([("m", T0 + timedelta(days=d)) for d in range(4)], "memory_id string, at timestamp_ntz").selectExpr("*", "1 as value", "2 as start")
+    from pyspark.sql import functions as F
+
+    got = {r["at"].day: (r["content"], r["state"]) for r in H.attributes_at(events, spark.createDataFrame(rows, SCHEMA), "memory_id", ["content", "state"], F.col("valid_to")).collect()}
+    assert got == {1: ("a", "x"), 2: ("a", "y"), 3: (None, "y"), 4: (None, "y")}
+    assert H.attributes_at(events.where("false"), spark.createDataFrame(rows, SCHEMA), "memory_id", ["content"]).collect() == []
 
 
 def test_attributes_keep_their_own_history(spark):
