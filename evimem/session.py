@@ -43,10 +43,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as a compressed table in the shared folder and read back (partitioning and order of rows are not kept)."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """`df` written as a compressed table in the shared folder, in folders of the column `by`, and read back (order of rows is not kept)."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._written_at = path
     return back
