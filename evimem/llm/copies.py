@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evimem.functions.skew import HOT_SHARE
-from evimem.session import partitions_for, spread_out, written
+from evimem.session import discard, partitions_for, spread_out, written
 
-#: Slots of the filters for each key, as a power of two, and their most: 2 ** 27 slots are 32 MB of bits at the driver and executors.
-SLOTS_PER_KEY, LEAST_SLOTS, MOST_SLOTS = 8, 1 << 16, 1 << 27
+#: Slots of the filters for each key, their least number, and those of one round: more keys are filtered in several rounds, each for
+#: a range of hashes, so a filter at the driver and the executors never has more than 2 ** 26 slots (8 MB of bits).
+SLOTS_PER_KEY, LEAST_SLOTS, ROUND_SLOTS = 8, 1 << 16, 1 << 26
 #: Slots that each key marks.
 PROBES = 3
 #: Slots of a slice, the unit in which partitions' filters are merged.
@@ -59,8 +61,23 @@ def _probe(hashes: np.ndarray, slots: int) -> list[np.ndarray]:
     return [((h + np.uint64(k) * step) & np.uint64(slots - 1)).astype(np.int64) for k in range(PROBES)]
 
 
+def _packed(marked: np.ndarray) -> bytes:
+    """The marked slots of a slice: as places of two bytes each where they are few, else as bits."""
+    at = np.flatnonzero(marked)
+    return at.astype(np.uint16).tobytes() if 2 * len(at) < SLICE // 8 else np.packbits(marked).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    """The bits of a slice."""
+    if len(data) == SLICE // 8:
+        return np.frombuffer(data, np.uint8)
+    marked = np.zeros(SLICE, bool)
+    marked[np.frombuffer(data, np.uint16)] = True
+    return np.packbits(marked)
+
+
 def _filters(slots: int):
-    """Per partition: the slots marked once or more and those marked repeatedly, in slices."""
+    """Per partition: the slots marked once or more and those marked repeatedly, in slices that cost two bytes a slot where few are marked."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(slots, np.uint8)
@@ -71,7 +88,7 @@ def _filters(slots: int):
         for k in range(0, slots, SLICE):
             part = seen[k : k + SLICE]
             if part.any():
-                yield pd.DataFrame({"slice": [k // SLICE], "once": [np.packbits(part > 0).tobytes()], "again": [np.packbits(part > 1).tobytes()]})
+                yield pd.DataFrame({"slice": [k // SLICE], "once": [_packed(part > 0)], "again": [_packed(part > 1)]})
 
     return run
 
@@ -82,7 +99,7 @@ def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     again: dict[int, np.ndarray] = {}
     for b in batches:
         for k, x, y in zip(b["slice"], b["once"], b["again"], strict=True):
-            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            x, y = _unpacked(x), _unpacked(y)
             if k in once:
                 again[k] = again[k] | y | (once[k] & x)
                 once[k] = once[k] | x
@@ -96,11 +113,11 @@ def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeats_filter(hashes: DataFrame) -> tuple[object, int]:
     """A filter of the hashes that may occur more than once (never missing one that does): its bits, broadcast, and its slots.
 
-    Partitions' filters are merged slice by slice on the executors; only the bits of the result, 16 MB at most, reach the
-    driver. With more keys than the largest filter serves well, more singletons pass it; the groups stay exact.
+    Partitions' filters are merged slice by slice on the executors; only the bits of the result reach the driver. Meant for
+    the hashes of one round; with more of them more singletons pass, and the groups stay exact.
     """
     slots = LEAST_SLOTS
-    want = min(MOST_SLOTS, SLOTS_PER_KEY * hashes.count())
+    want = min(ROUND_SLOTS, SLOTS_PER_KEY * hashes.count())
     while slots < want:
         slots *= 2
     slices = hashes.mapInPandas(_filters(slots), "slice int, once binary, again binary")
@@ -137,22 +154,43 @@ def spread_join(rows: DataFrame, ones: DataFrame, on: str, size: str, how: str =
     return left.join(right, [on, "_s"], how).drop("_s")
 
 
+def _filtered(rows: DataFrame) -> DataFrame:
+    """`rows` (`key, row, sequence, record`) once for each digest, with `maybe`: whether the filters of repeats hold the digest.
+
+    The hashes are cut into ranges of as many as a filter serves well; each range has a round of its own, in which its filter is
+    built, merged and asked. So with any number of keys the filters let few singletons through, and none grows beyond its bound.
+    """
+    digests = F.array_compact(F.array(F.xxhash64("sequence"), F.when(F.col("record").isNotNull(), F.xxhash64("record"))))
+    entries = rows.withColumn("hash", F.explode(digests))
+    rounds = max(1, -(-SLOTS_PER_KEY * entries.count() // ROUND_SLOTS))
+    if rounds > 1:
+        # other bits than those of the slots
+        entries = written(entries.withColumn("round", F.pmod(F.xxhash64("hash", F.lit(1)), F.lit(rounds)).cast("int")), "entries", "round")
+    parts = []
+    for k in range(rounds):
+        mine = entries.where(F.col("round") == k).drop("round") if rounds > 1 else entries
+        bits, slots = repeats_filter(mine.select("hash"))
+        parts.append(written(mine.withColumn("maybe", maybe_repeated(bits, slots)("hash")).drop("hash"), "marked"))
+        bits.destroy()
+    discard(entries)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """The records that have copies, and all keys: (`key, first, copies` of every member of a set of two or more; `key` of the others).
 
-    Keys are canonical digests. Only rows that the filter of repeats lets through are shuffled and grouped exactly; the
+    Keys are canonical digests. Only rows that the filters of repeats let through are shuffled and grouped exactly; the
     others are singletons for certain. Lists and other texts with the same letters in the same order are one set too.
     Rows without key, and texts without letters or digits (or null), belong to no set and are left out. Rows repeated under one
     key count as copies of each other.
     """
-    rows = written(keyed(df, key, text), "keys")
-    hashes = rows.select(F.explode(F.array_compact(F.array(F.xxhash64("sequence"), F.when(F.col("record").isNotNull(), F.xxhash64("record"))))).alias("hash"))
-    bits, slots = repeats_filter(hashes)
-    check = maybe_repeated(bits, slots)
-    # a row may be both: only one call of the filter for a row, for either digest
-    marked = rows.withColumn("maybe", check(F.xxhash64("sequence")) | check(F.xxhash64(F.coalesce("record", "sequence"))))
-    marked = written(marked, "marked")
-    some = marked.where("maybe").drop("maybe")
+    rows = written(keyed(df, key, text).withColumn("row", F.monotonically_increasing_id()), "keys")
+    marked = _filtered(rows)
+    discard(rows)
+    # a list has two digests: it is a singleton if neither may be repeated
+    some = marked.where("maybe").drop("maybe").dropDuplicates(["row"]).drop("row")
+    single = marked.where("record is null and not maybe").select("key")
+    single_lists = marked.where("record is not null").groupBy("row").agg(F.first("key").alias("key"), F.max("maybe").alias("maybe")).where("not maybe").select("key")
     # texts that are no list take the fields of a list with the same letters
     lists = some.where("record is not null").groupBy("sequence").agg(F.min("record").alias("as_record"))
     sized = some.groupBy("sequence").agg(F.count("*").alias("rows")).join(lists, "sequence")
@@ -160,7 +198,7 @@ def classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     sets = written(named.select("key", F.coalesce("as_record", "record", "sequence").alias("canon")), "canon")
     firsts = sets.groupBy("canon").agg(F.min("key").alias("first"), F.count("*").alias("copies"))
     grouped = spread_join(sets, firsts, "canon", "copies").select("key", "first", "copies")
-    return grouped.where("copies > 1"), marked.where("not maybe").select("key").unionByName(grouped.where("copies = 1").select("key"))
+    return grouped.where("copies > 1"), single.unionByName(single_lists).unionByName(grouped.where("copies = 1").select("key"))
 
 
 def copy_pairs(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -256,6 +256,19 @@ def test_filter_never_misses_a_repeat(spark):
     assert set(values[:500]) <= found and len(found) < 600
 
 
+def test_rounds_give_the_same_copies(spark):
+    rng = random.Random(6)
+    rows = [(f"d{k:04d}", f"text {rng.randrange(900)}" if k % 3 else f"name: n{rng.randrange(300)}\nplace: p") for k in range(1500)]
+    df = spark.createDataFrame(rows, "id string, content string").repartition(5)
+    plain = {tuple(r) for r in copies.copy_pairs(df, "id", "content").collect()}, sorted(tuple(r) for r in copies.records(df, "id", "content").collect())
+    kept, copies.ROUND_SLOTS = copies.ROUND_SLOTS, 1 << 12
+    try:
+        rounds = {tuple(r) for r in copies.copy_pairs(df, "id", "content").collect()}, sorted(tuple(r) for r in copies.records(df, "id", "content").collect())
+    finally:
+        copies.ROUND_SLOTS = kept
+    assert rounds == plain and len(plain[0]) > 300 and sum(n for _, n in plain[1]) == 1500
+
+
 def test_hot_copies_are_salted(spark):
     rows = [(f"k{n}", "the same text") for n in range(60)] + [(f"x{n}", f"other {n}") for n in range(60)]
     df = spark.createDataFrame(rows, "key string, t string").selectExpr("key", "t as canon")
