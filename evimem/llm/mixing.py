@@ -90,7 +90,8 @@ def mixed(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, f
 
     Each source's texts follow each other in an order of hashes, pass after pass; where a text begins decides its block, and the
     block's slot follows from the schedule of one cycle. Sums up to each text are taken in buckets of the hash order, so no task
-    holds a source. Targets are a small fixed table; a source listed twice counts as the last in order. Texts that are null, empty or without
+    holds a source. The report has the target, the share scaled to the sources with texts, the share of the schedule (which differs where the weights
+    need a cycle of more than `CYCLE` blocks) and the actual one. Targets are a small fixed table; a source listed twice counts as the last in order. Texts that are null, empty or without
     source, and sources without target, are not used; the same text under several keys counts as one.
     """
     spark = df.sparkSession
@@ -123,7 +124,8 @@ def mixed(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, f
 
     used = out.groupBy("source").agg(F.sum("n_tokens").alias("tokens_used"), F.count("*").alias("texts_used"), (F.max("copy") + 1).alias("most_copies"))
     wanted = sum(w for s, w, _ in listed if s in quota) or 1.0
-    facts = spark.createDataFrame([(s, w, w / wanted if s in quota else 0.0, r, *totals.get(s, (0, 0))[::-1]) for s, w, r in listed], "source string, target_share double, scaled_share double, max_repeats int, texts bigint, tokens bigint")
+    scheduled = {s: n / len(order) for s, n in zip(names, blocks, strict=True)}
+    facts = spark.createDataFrame([(s, w, w / wanted if s in quota else 0.0, scheduled.get(s, 0.0), r, *totals.get(s, (0, 0))[::-1]) for s, w, r in listed], "source string, target_share double, scaled_share double, scheduled_share double, max_repeats int, texts bigint, tokens bigint")
     report = facts.join(used, "source", "left").fillna(0, ["tokens_used", "texts_used", "most_copies"])
     report = report.withColumn("actual_share", F.coalesce(F.try_divide(F.col("tokens_used"), F.sum("tokens_used").over(Window.partitionBy())), F.lit(0.0)))
     return out, report

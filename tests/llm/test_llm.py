@@ -350,6 +350,12 @@ def test_schedule_is_fair(shares):
     assert got == blocks
 
 
+def test_rounded_weights_are_near():
+    weights = [0.123456789, 0.5, 0.376543211]
+    blocks = mixing.cycle(weights)
+    assert sum(blocks) == mixing.CYCLE and all(abs(n / mixing.CYCLE - w) <= 1 / mixing.CYCLE for n, w in zip(blocks, weights, strict=True))
+
+
 def test_mix(spark):
     rng = random.Random(5)
     rows = [(k, " ".join(rng.choice(["alpha", "beta", "gamma"]) + str(k) for _ in range(30)), "big" if k < 300 else "small") for k in range(340)]
@@ -365,6 +371,7 @@ def test_mix(spark):
     shares = {r["source"]: (r["scaled_share"], r["actual_share"]) for r in report.collect()}
     assert shares["missing"] == (0.0, 0.0)
     assert all(abs(a - b) < 0.03 for a, b in shares.values())
+    assert {r["source"]: round(r["scheduled_share"], 9) for r in report.collect()} == {"big": round(2 / 3, 9), "small": round(1 / 3, 9), "missing": 0.0}
     empty, none = mixing.mixed(docs.where("false"), targets, "doc_id", "text", "source")
     assert empty.collect() == [] and {r["tokens_used"] for r in none.collect()} == {0}
 
