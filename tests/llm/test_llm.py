@@ -351,7 +351,7 @@ def test_schedule_is_fair(shares):
 
 
 def test_rounded_weights_are_near():
-    weights = [0.123456789, 0.5, 0.376543211]
+    weights = [0.1234501, 0.4999999, 0.37655]
     blocks = mixing.cycle(weights)
     assert sum(blocks) == mixing.CYCLE and all(abs(n / mixing.CYCLE - w) <= 1 / mixing.CYCLE for n, w in zip(blocks, weights, strict=True))
 
