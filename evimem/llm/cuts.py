@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,8 +22,8 @@ NEIGHBOURS, FDR, LEAST = 12, 0.01, 5
 OPEN_END, FIELD_END = 0.03, 0.12
 #: Cuts for each character that are assumed before any is counted, and the odds from which a text counts as cut.
 FIRST_RATE, ODDS = 1e-4, 1.5
-#: Most counters that a task holds before it hands them on.
-HELD = 300_000
+#: Most counters that a task holds before it hands them on, and words whose shapes and the like a worker remembers.
+HELD, REMEMBERED = 300_000, 200_000
 
 # Marks that are put where a text was cut.
 _MARK = re.compile(r"(?i)(?:[\[(<](?:\.\.\.|…)?\s*(?:truncated|cut|more|cont(?:inued|'d|\.)?|clipped|abridged|read more|see more)\s*(?:\.\.\.|…)?[\])>]|�)[\s.…]*$")
@@ -33,6 +34,7 @@ _FIELD = re.compile(r"(?:^|[\n|;]\s*)(?:[-*•]\s*)?\w+\s*[:=]\s")
 _END = "\n"
 
 
+@lru_cache(maxsize=REMEMBERED)
 def shape(word: str) -> str:
     """Letters as a, digits as 9, runs as one, the rest as it is."""
     return re.sub(r"9+", "9", re.sub(r"[^\W\d_]+", "a", re.sub(r"\d", "9", word)))
@@ -53,16 +55,24 @@ def stream(text: str) -> tuple[list[str], bool, bool]:
             if out and out[-1] != _END:
                 out.append(_END)
             continue
-        word = re.sub(r"^[^\w]+|[^\w:]+$", "", raw) if raw else ""
-        if word.strip(":"):
+        word = _bare(raw)
+        if word:
             out.append(word)
     return out, fields, closed
 
 
+@lru_cache(maxsize=REMEMBERED)
+def _bare(raw: str) -> str:
+    """A word without the signs around it, but with a colon at its end; nothing if no word is left."""
+    word = re.sub(r"^[^\w]+|[^\w:]+$", "", raw)
+    return word if word.strip(":") else ""
+
+
 def _classes(words: list[str], known: frozenset[str]) -> list[str]:
     return [w if w == _END or w in known else "\t" + shape(w) for w in words]
 
 
+@lru_cache(maxsize=REMEMBERED)
 def tail(word: str) -> str:
     """The part of a word that must be whole at its end: a word of letters, the last part of a path; nothing for numbers."""
     if re.fullmatch(r"[^\d./]+", word):
@@ -70,46 +80,22 @@ def tail(word: str) -> str:
     return word[word.rfind(".") :] if re.search(r"/.*\.[^\W\d]*$", word) else ""
 
 
-def _count(known):
-    """Counts of (three classes before, class) and how often a sentence or field ended there, and of words (under a null before), but open last words."""
+#: What one pass over the texts gives: the end of each text (`key` and more), and counts under a null `key`: of (three classes before, class)
+#: with how often a sentence or field ended there, and of words (under a null `c1`), but for open last words.
+_FOUND = "source string, chars int, bytes int, cut boolean, whole boolean, fields boolean, closed boolean, c3 string, c2 string, c1 string, c string, last string, size int, n bigint, n_end bigint, text boolean"
+
+
+def _read(known):
+    """Each text's end (lengths, marks, the last word with what comes before it), and counts of the words in their places."""
 
     def handed(counts: Counter, ends: Counter, words: Counter) -> pd.DataFrame:
         keys = list(counts)
         grams = {"c3": [k[0] for k in keys], "c2": [k[1] for k in keys], "c1": [k[2] for k in keys], "c": [k[3] for k in keys], "n": [counts[k] for k in keys], "n_end": [ends[k] for k in keys]}
         single = {"c3": None, "c2": None, "c1": None, "c": list(words), "n": list(words.values()), "n_end": 0}
-        return pd.concat([pd.DataFrame(grams), pd.DataFrame(single)])
+        return pd.concat([pd.DataFrame(grams), pd.DataFrame(single)]).assign(text=False)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, ends, seen = Counter(), Counter(), Counter()
-        for b in batches:
-            for text in b["text"]:
-                words, _, closed = stream(text)
-                if not closed:
-                    while words and words[-1] == _END:
-                        words.pop()
-                cls = _classes(words, known.value)
-                padded = [_END, _END, _END, *cls]
-                upto = len(cls) - (not closed)
-                seen.update(map(tail, words[: max(upto, 0)]))
-                for k in range(upto):
-                    if cls[k] == _END:
-                        continue
-                    key = (padded[k], padded[k + 1], padded[k + 2], cls[k])
-                    counts[key] += 1
-                    if k + 1 == len(cls) or cls[k + 1] == _END:
-                        ends[key] += 1
-            if len(counts) + len(seen) > HELD:
-                yield handed(counts, ends, seen)
-                counts, ends, seen = Counter(), Counter(), Counter()
-        yield handed(counts, ends, seen)
-
-    return run
-
-
-def _endings(known):
-    """Each text's end: lengths, marks, and the last word with what comes before it."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for key, source, text in zip(b["key"], b["source"], b["text"], strict=True):
@@ -120,15 +106,36 @@ def _endings(known):
                 while words and words[-1] == _END:
                     words.pop()
                 cls = _classes(words, known.value)
-                before = [_END, _END, _END, *cls][-4:-1] if cls else [_END] * 3
+                padded = [_END, _END, _END, *cls]
+                # the last word counts if its sentence or field is closed
+                upto = len(cls) - (not closed)
+                seen.update(map(tail, words[: max(upto, 0)]))
+                for k in range(upto):
+                    if cls[k] == _END:
+                        continue
+                    place = (padded[k], padded[k + 1], padded[k + 2], cls[k])
+                    counts[place] += 1
+                    if k + 1 == len(cls) or cls[k + 1] == _END:
+                        ends[place] += 1
+                before = padded[-4:-1] if cls else [_END] * 3
                 end = tail(words[-1]) if words else ""
                 size = len(text.encode()) - 2 * text.count("�")
                 rows.append((key, source, len(text), size, bool(_MARK.search(plain)) or record and not whole, whole, fields, closed, *before, cls[-1] if cls else "", end, len(end)))
-            yield pd.DataFrame(rows, columns=["key", "source", "chars", "bytes", "cut", "whole", "fields", "closed", "c3", "c2", "c1", "c", "last", "size"])
+            columns = ["key", "source", "chars", "bytes", "cut", "whole", "fields", "closed", "c3", "c2", "c1", "c", "last", "size"]
+            yield _shaped(pd.DataFrame(rows, columns=columns).assign(text=True))
+            if len(counts) + len(seen) > HELD:
+                yield _shaped(handed(counts, ends, seen))
+                counts, ends, seen = Counter(), Counter(), Counter()
+        yield _shaped(handed(counts, ends, seen))
 
     return run
 
 
+def _shaped(b: pd.DataFrame) -> pd.DataFrame:
+    """All columns of `_FOUND`, with nulls where `b` has none."""
+    return b.reindex(columns=["key", *[c.split()[0] for c in _FOUND.split(", ")]]).astype(object).where(lambda x: x.notna(), None)
+
+
 def limits(lengths: DataFrame) -> DataFrame:
     """Lengths at which a source's texts end far too often: `source, unit, length, n, hazard, expected`.
 
@@ -168,9 +175,10 @@ def judged(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     parts = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}:/.@_+-]+|[.]+(?=\s|$)"))
     often = rows.select(F.explode(parts).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where((F.col("n") >= SHARE * total) & F.col("w").rlike(r"\p{L}") & ~F.col("w").rlike(r"[\d/]"))
     known = spark.sparkContext.broadcast(frozenset(r[0] for r in often.select("w").toLocalIterator()))
-    counts = rows.select("text").mapInPandas(_count(known), "c3 string, c2 string, c1 string, c string, n bigint, n_end bigint").groupBy("c3", "c2", "c1", "c").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
-    counts = written(counts, "counts")
-    ends = written(rows.mapInPandas(_endings(known), "key " + dict(df.dtypes)[key] + ", source string, chars int, bytes int, cut boolean, whole boolean, fields boolean, closed boolean, c3 string, c2 string, c1 string, c string, last string, size int"), "ends")
+    # one pass over the texts gives both the counts and the ends
+    found = written(rows.mapInPandas(_read(known), f"key {dict(df.dtypes)[key]}, {_FOUND}"), "read")
+    counts = written(found.where("not text").groupBy("c3", "c2", "c1", "c").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")), "counts")
+    ends = found.where("text").drop("n", "n_end", "text")
     seen = ends
     levels = [["c3", "c2", "c1"], ["c2", "c1"], ["c1"]]
     for k, by in zip((3, 2, 1), levels, strict=True):

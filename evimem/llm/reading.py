@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -13,14 +14,14 @@ from pyspark.sql import functions as F
 
 from evimem.session import spread_out, written
 
-#: A corpus word is an item of the model from this share of the documents on (beside the words of the graded passages), so at most
-#: (different words of a mean document) / SHARE words are broadcast.
-SHARE = 0.004
+#: A corpus word is an item of its own from this share of the documents on (beside the words of the graded passages), so at most
+#: (different words of a mean document) / SHARE words are broadcast. The rarer words share items by their hash, a fixed number of them.
+SHARE, SHARED_ITEMS = 0.004, 4096
 #: Levels that the document step chooses from, and alternations of the two steps.
 GRID, ROUNDS = np.arange(0.0, 6.01, 0.1), 4
 #: Precision of the prior of word slopes (about 0) and of document levels (about 3).
 SLOPE_PRIOR, LEVEL_PRIOR = 2.0, 0.05
-#: Fewest item words, and least share of all words that items must be, for a text to count as prose.
+#: Fewest known words (items of their own; fewer make a stray snippet), and their least share of all words, for a text to count as prose.
 LEAST_WORDS, LEAST_SHARE = 30, 0.45
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -44,21 +45,21 @@ class Items:
     """The words of the model: an index for each (language, word), and words that tell languages apart."""
 
     def __init__(self, languages: list[str], words: list[str], telling: dict[str, list[int]]):
-        self.languages, self.size = languages, len(words)
+        self.languages, self.known, self.size = languages, len(words), len(words) + SHARED_ITEMS
         self.index = {w: k for k, w in enumerate(words)}
         # how much each word speaks for each language: its share of that language in the graded passages
         self.votes = np.zeros((len(words), len(languages)))
         for w, seen in telling.items():
             self.votes[self.index[w]] = np.asarray(seen) / sum(seen)
 
-    def counted(self, text: str) -> tuple[int, np.ndarray, np.ndarray, int]:
-        """Language of a text, its items with their counts, and its number of words."""
-        words = _WORD.findall(text.lower())
-        found = Counter(map(self.index.get, words))
-        found.pop(None, None)
-        at, n = np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
-        lang = int((n @ self.votes[at]).argmax())
-        return lang, at + lang * self.size, n, len(words)
+    def counted(self, text: str) -> tuple[int, np.ndarray, np.ndarray, int, int]:
+        """Language of a text, its items with their counts, its number of words, and how many of them are items of their own."""
+        found = Counter(_WORD.findall(text.lower()))
+        n = np.fromiter(found.values(), np.int64, len(found))
+        at = np.fromiter((self.index[w] if w in self.index else self.known + crc32(w.encode()) % SHARED_ITEMS for w in found), np.int64, len(found))
+        own = at < self.known
+        lang = int((n[own] @ self.votes[at[own]]).argmax())
+        return lang, at + lang * self.size, n, int(n.sum()), int(n[own].sum())
 
 
 def _encoded(items):
@@ -66,8 +67,8 @@ def _encoded(items):
         for b in batches:
             rows = []
             for key, text in zip(b["key"], b["text"], strict=True):
-                lang, at, n, total = items.value.counted(text)
-                prose = bool(n.sum() >= LEAST_WORDS and n.sum() >= LEAST_SHARE * total and _prose_share(text) >= 0.5)
+                lang, at, n, total, known = items.value.counted(text)
+                prose = bool(known >= LEAST_WORDS and known >= LEAST_SHARE * total and _prose_share(text) >= 0.5)
                 rows.append((key, lang, at, n, prose))
             yield pd.DataFrame(rows, columns=["key", "lang", "at", "n", "prose"])
 
@@ -194,12 +195,12 @@ def levels(df: DataFrame, key: str, text: str, graded: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(items)
     docs = written(rows.where(F.col("text").rlike(r"\p{L}")).mapInPandas(_encoded(shared), f"key {kind}, lang int, at array<int>, n array<int>, prose boolean"), "counted")
 
-    model = Model(len(languages), len(words))
+    model = Model(len(languages), items.size)
     lang, at, n = [], [], []
     for name, passage in zip(passages["lang"], passages["text"], strict=True):
-        _, found, times, _ = items.counted(passage)
+        _, found, times, *_ = items.counted(passage)
         lang.append(languages.index(name))
-        at.append(found % len(words) + lang[-1] * len(words))
+        at.append(found % items.size + lang[-1] * items.size)
         n.append(times.astype(float))
     lang, grade = np.array(lang), passages["reading_level"].to_numpy(float)
     flat, counts = np.concatenate(at), np.concatenate(n)
