@@ -32,6 +32,7 @@ _CLOSED = re.compile(r"[.!?][\"'”’)\]*_~\s]*(?:[^\w\s.,;:!?\"'()\[\]{}<>/=|@
 _LOOSE = re.compile(r"[^\w]+$")
 _FIELD = re.compile(r"(?:^|[\n|;]\s*)(?:[-*•]\s*)?\w+\s*[:=]\s")
 _END = "\n"
+_TOKEN = re.compile(r"\S+|\n")
 
 
 @lru_cache(maxsize=REMEMBERED)
@@ -50,7 +51,7 @@ def stream(text: str) -> tuple[list[str], bool, bool]:
     else:
         low = re.sub(r"[.!?]+[\"'”’)\]*]*(?:\s+|$)", f" {_END} ", low.replace("\n", " "))
     out = []
-    for raw in re.split(r"[^\S\n]+|(?<=\n)|(?=\n)", low):
+    for raw in _TOKEN.findall(low):
         if raw == _END:
             if out and out[-1] != _END:
                 out.append(_END)
@@ -68,8 +69,18 @@ def _bare(raw: str) -> str:
     return word if word.strip(":") else ""
 
 
-def _classes(words: list[str], known: frozenset[str]) -> list[str]:
-    return [w if w == _END or w in known else "\t" + shape(w) for w in words]
+class _Classes(dict):
+    """The class of each word: the word if it is known, else its shape."""
+
+    def __init__(self, known: frozenset[str]):
+        super().__init__((w, w) for w in known | {_END})
+        self.known = len(self)
+
+    def __missing__(self, word: str) -> str:
+        if len(self) < self.known + REMEMBERED:
+            self[word] = "\t" + shape(word)
+            return self[word]
+        return "\t" + shape(word)
 
 
 @lru_cache(maxsize=REMEMBERED)
@@ -89,13 +100,14 @@ def _read(known):
     """Each text's end (lengths, marks, the last word with what comes before it), and counts of the words in their places."""
 
     def handed(counts: Counter, ends: Counter, words: Counter) -> pd.DataFrame:
-        keys = list(counts)
+        keys = [k for k in counts if k[3] != _END]
         grams = {"c3": [k[0] for k in keys], "c2": [k[1] for k in keys], "c1": [k[2] for k in keys], "c": [k[3] for k in keys], "n": [counts[k] for k in keys], "n_end": [ends[k] for k in keys]}
         single = {"c3": None, "c2": None, "c1": None, "c": list(words), "n": list(words.values()), "n_end": 0}
         return pd.concat([pd.DataFrame(grams), pd.DataFrame(single)]).assign(text=False)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, ends, seen = Counter(), Counter(), Counter()
+        class_of = _Classes(known.value).__getitem__
         for b in batches:
             rows = []
             for key, source, text in zip(b["key"], b["source"], b["text"], strict=True):
@@ -105,18 +117,16 @@ def _read(known):
                 words, fields, closed = stream(plain)
                 while words and words[-1] == _END:
                     words.pop()
-                cls = _classes(words, known.value)
+                cls = list(map(class_of, words))
                 padded = [_END, _END, _END, *cls]
                 # the last word counts if its sentence or field is closed
                 upto = len(cls) - (not closed)
                 seen.update(map(tail, words[: max(upto, 0)]))
-                for k in range(upto):
-                    if cls[k] == _END:
-                        continue
-                    place = (padded[k], padded[k + 1], padded[k + 2], cls[k])
-                    counts[place] += 1
-                    if k + 1 == len(cls) or cls[k + 1] == _END:
-                        ends[place] += 1
+                places = list(zip(padded, padded[1:], padded[2:], cls[: max(upto, 0)], strict=False))
+                counts.update(places)
+                ends.update(places[k - 1] for k, c in enumerate(cls) if c == _END and 0 < k <= upto)
+                if places and upto == len(cls):
+                    ends[places[-1]] += 1
                 before = padded[-4:-1] if cls else [_END] * 3
                 end = tail(words[-1]) if words else ""
                 size = len(text.encode()) - 2 * text.count("�")
