@@ -201,11 +201,12 @@ def marker_score(text: Column, markers: list[tuple[str, int]]) -> Column:
 
 
 def stated_date(text: Column) -> Column:
-    """The first valid date in the text: ISO dates first, then short month names, then month/day/year."""
+    """The first valid date in the text: ISO dates first, then ISO times to the minute, then short month names, then month/day/year."""
     iso = F.filter(F.regexp_extract_all(text, F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), 1), lambda d: F.try_to_date(d, "yyyy-MM-dd").isNotNull())
+    timed = F.filter(F.regexp_extract_all(text, F.lit(r"\b(\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2})"), 1), lambda d: F.try_to_timestamp(d, F.lit("yyyy-MM-dd'T'HH:mm")).isNotNull())
     named = F.filter(F.regexp_extract_all(text, F.lit(r"(?i)\b((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2},?\s+\d{4})\b"), 1), lambda d: F.try_to_date(F.initcap(F.regexp_replace(F.regexp_replace(d, ",", ""), r"\s+", " ")), "MMM d yyyy").isNotNull())
     slash = F.filter(F.regexp_extract_all(text, F.lit(r"\b(\d{1,2}/\d{1,2}/\d{2,4})\b"), 1), lambda d: F.split(d, "/")[0].cast("int").between(1, 12) & F.split(d, "/")[1].cast("int").between(1, 31))
-    return F.coalesce(F.get(iso, F.lit(0)), F.get(named, F.lit(0)), F.get(slash, F.lit(0)))
+    return F.coalesce(F.get(iso, F.lit(0)), F.get(timed, F.lit(0)), F.get(named, F.lit(0)), F.get(slash, F.lit(0)))
 
 
 def temporal_class(text: Column) -> tuple[Column, Column, Column, Column]:

@@ -126,12 +126,23 @@ def topic_weights(memories: DataFrame, as_of: Column, half_life: float = 30.0) -
 
 
 def calibration(usage: DataFrame, memories: DataFrame, least: int = 4, strength: float = 4.0) -> DataFrame:
-    """Chance that a use is helpful per source type: its own share if it has `least` resolved uses, else the overall one, drawn to .5 by `strength` uses."""
-    own = usage.where(F.col("outcome").isin(*POSITIVE, *NEGATIVE)).join(memories.select(F.col("id").alias("memory_id"), "source_type"), "memory_id")
-    sums = own.groupBy("source_type").agg(F.count("*").alias("n"), F.count_if(F.col("outcome").isin(*POSITIVE)).alias("k"))
+    """Chance that a use is helpful per kind and source type, from the first rung with `least` resolved uses: both, the kind, all, else the prior .5.
+
+    Each rung's share is drawn to .5 by `strength` uses. Uses are counted per memory before they meet the memories, so a hot memory is one row.
+    """
+    good = F.col("outcome").isin(*POSITIVE)
+    per = usage.where(F.col("outcome").isin(*POSITIVE, *NEGATIVE)).groupBy("memory_id").agg(F.count("*").alias("n"), F.count_if(good).alias("k"))
+    own = per.join(memories.select(F.col("id").alias("memory_id"), "kind", "source_type"), "memory_id")
+    sums = own.groupBy("kind", "source_type").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    kinds = sums.groupBy("kind").agg(F.sum("n").alias("kind_n"), F.sum("k").alias("kind_k"))
     total = sums.agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"))
     drawn = lambda k, n: (F.col(k) + 0.5 * strength) / (F.col(n) + strength)
-    return sums.join(F.broadcast(total)).select("source_type", "n", "k", r6(F.when(F.col("n") >= least, drawn("k", "n")).otherwise(drawn("all_k", "all_n"))).alias("probability"))
+    rungs = [("task_source", "k", "n"), ("task", "kind_k", "kind_n"), ("global", "all_k", "all_n")]
+    rung, chance = F.lit("prior"), F.lit(0.5)
+    for name, k, n in reversed(rungs):
+        rung, chance = F.when(F.col(n) >= least, name).otherwise(rung), F.when(F.col(n) >= least, drawn(k, n)).otherwise(chance)
+    # the totals of kinds are as few as there are kinds
+    return sums.join(F.broadcast(kinds), "kind").join(F.broadcast(total)).select("kind", "source_type", "n", "k", rung.alias("rung"), r6(chance).alias("probability"))
 
 
 def calibration_error(usage: DataFrame, bins: int = 10) -> DataFrame:
@@ -143,10 +154,13 @@ def calibration_error(usage: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def token_waste(usage: DataFrame, memories: DataFrame) -> DataFrame:
-    """Share of the tokens of selected memories that went unused, per day."""
+    """Health of selections per day: share of their tokens that went unused, of selections used, of uses helpful, and of selections that did harm."""
     size = memories.select(F.col("id").alias("memory_id"), F.ceil(F.length("content") / 4).alias("tokens"))
     joined = usage.where("selected").join(size, "memory_id")
-    return joined.groupBy(F.to_date("created_at").alias("day")).agg(F.sum("tokens").alias("tokens"), F.sum(F.when(~F.col("used"), F.col("tokens")).otherwise(0)).alias("unused_tokens"), r6(share(F.sum(F.when(~F.col("used"), F.col("tokens")).otherwise(0)), F.sum("tokens"))).alias("waste"))
+    good, bad = F.count_if(F.col("outcome").isin(*POSITIVE)), F.count_if(F.col("outcome").isin(*NEGATIVE))
+    used = F.count_if("used")
+    health = [r6(share(used, F.count("*"))).alias("precision"), r6(share(good, used)).alias("helpfulness"), r6(share(bad, F.count("*"))).alias("false_positive_rate")]
+    return joined.groupBy(F.to_date("created_at").alias("day")).agg(*health, F.sum("tokens").alias("tokens"), F.sum(F.when(~F.col("used"), F.col("tokens")).otherwise(0)).alias("unused_tokens"), r6(share(F.sum(F.when(~F.col("used"), F.col("tokens")).otherwise(0)), F.sum("tokens"))).alias("waste"))
 
 
 def spaced_reinforcement(usage: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evimem.functions.numbers import r6
 from evimem.functions.skew import hot_keys, salt, spread
+from evimem.session import cut, partitions_for
 
 #: Most used memories of a task that are paired with each other.
 MOST_PAIRED = 10
@@ -143,13 +144,13 @@ def reconciled(stored: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFra
 def reached(starts: DataFrame, edges: DataFrame, depth: int = 2, decay: float = 0.5) -> DataFrame:
     """`seed, id, boost`: what `starts` (`seed, id, boost`) hand on to the records within `depth` steps; a seed's several starts add up.
 
-    Contradictions are never followed; a superseded record leads to what supersedes it only; useful_together goes both ways, other
-    relations along their direction. A step shares a score by edge weight, times `decay`; several paths add up to 1 at most.
+    Contradictions are never followed; a superseded record leads to what supersedes it only, and a claim to the evidence that supports it only;
+    useful_together goes both ways, other relations along their direction. A step shares a score by edge weight, times `decay`; several paths add up to 1 at most.
     """
     known = edges.where("src_id is not null and dst_id is not null and src_id <> dst_id and relation <> 'contradicts'")
     w = F.coalesce("weight", F.lit(0.0))
-    ahead = known.where("relation <> 'supersedes'").select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"), w.alias("w"))
-    back = known.where("relation in ('supersedes', 'useful_together')").select(F.col("dst_id").alias("a"), F.col("src_id").alias("b"), w.alias("w"))
+    ahead = known.where("relation not in ('supersedes', 'supports')").select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"), w.alias("w"))
+    back = known.where("relation in ('supersedes', 'supports', 'useful_together')").select(F.col("dst_id").alias("a"), F.col("src_id").alias("b"), w.alias("w"))
     steps = ahead.unionByName(back).groupBy("a", "b").agg(F.max("w").alias("w")).where("w > 0")
     shared = steps.join(steps.groupBy("a").agg(F.sum("w").alias("total")), "a").select("a", "b", (F.col("w") / F.greatest(F.col("total"), F.lit(1.0))).alias("p"))
     at = starts.select("seed", "id", "boost")
@@ -187,11 +188,29 @@ def merged_duplicates(memories: DataFrame, keys: list[Column]) -> DataFrame:
     return sums.drop(*[f"k{n}" for n in range(len(keys))])
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """`rows` with their number (from 1) within each group, in an order that leaves no ties.
+
+    A group is not sorted by one task: rows are range-partitioned on keys and order, numbered within their partition, and the few groups that
+    reach over several partitions (two a partition at most) get the counts of the earlier ones added. Rows with a null key are a group.
+    """
+    ranged = cut(rows.repartitionByRange(partitions_for(rows), *keys, *order).sortWithinPartitions(*keys, *order).withColumn("_pid", F.spark_partition_id()))
+    within = ranged.withColumn(name, F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(*order)).cast("bigint"))
+    sizes = ranged.groupBy("_pid", *keys).agg(F.count("*").alias("_n"))
+    by_pid = Window.partitionBy(*keys).orderBy("_pid")
+    offsets = sizes.withColumn("_offset", F.sum("_n").over(by_pid) - F.col("_n")).where("_offset > 0")
+    renamed = offsets.select(F.col("_pid").alias("_p"), "_offset", *[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)])
+    same = F.col("_pid") == F.col("_p")
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{n}"))
+    joined = within.join(F.broadcast(renamed), same, "left")
+    return joined.select(*rows.columns, (F.col(name) + F.coalesce("_offset", F.lit(0))).alias(name))
+
+
 def adjacent_pairs(rows: DataFrame, keys: list[str], order: list, key: str) -> DataFrame:
     """Neighbours (first with second, third with fourth, ...) within each group; an odd last row has no pair. The arm of each is a hash of the pair."""
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    numbered = rows.select(*keys, F.col(key).alias("id"), rn.alias("rn"))
-    pair = numbered.withColumn("pair", F.floor((F.col("rn") - 1) / 2)).groupBy(*keys, "pair").agg(F.min_by("id", "rn").alias("first"), F.max_by("id", "rn").alias("second"), F.count("*").alias("n")).where("n = 2")
+    found = numbered(rows, keys, order, "rn").select(*keys, F.col(key).alias("id"), "rn")
+    pair = found.withColumn("pair", F.floor((F.col("rn") - 1) / 2)).groupBy(*keys, "pair").agg(F.min_by("id", "rn").alias("first"), F.max_by("id", "rn").alias("second"), F.count("*").alias("n")).where("n = 2")
     treated = F.when(F.conv(F.substring(F.sha2(F.concat("first", F.lit("|"), "second"), 256), 1, 8), 16, 10).cast("bigint") % 2 == 0, F.col("first")).otherwise(F.col("second"))
     return pair.select(*keys, "first", "second", treated.alias("treated"))
 

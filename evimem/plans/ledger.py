@@ -115,8 +115,9 @@ def agg_21(spark, d):
 @query(
     "agg_22",
     ONCE
-    + """, s as (select source_type, count(*) as n, count(*) filter (outcome in ('helpful', 'validated')) as k from once join (select id, source_type from memories) m on m.id = memory_id where outcome in ('helpful', 'validated', 'harmful', 'corrected') group by 1)
-select source_type, n, k, round(case when n >= 4 then (k + 2.0) / (n + 4.0) else ((select sum(k) from s) + 2.0) / ((select sum(n) from s) + 4.0) end, 6) as probability from s""",
+    + """, s as (select kind, source_type, count(*) as n, count(*) filter (outcome in ('helpful', 'validated')) as k from once join (select id, kind, source_type from memories) m on m.id = memory_id where outcome in ('helpful', 'validated', 'harmful', 'corrected') group by 1, 2),
+t as (select *, sum(n) over (partition by kind) as kn, sum(k) over (partition by kind) as kk, sum(n) over () as an, sum(k) over () as ak from s)
+select kind, source_type, n, k, case when n >= 4 then 'task_source' when kn >= 4 then 'task' when an >= 4 then 'global' else 'prior' end as rung, round(case when n >= 4 then (k + 2.0) / (n + 4.0) when kn >= 4 then (kk + 2.0) / (kn + 4.0) when an >= 4 then (ak + 2.0) / (an + 4.0) else 0.5 end, 6) as probability from t""",
 )
 def agg_22(spark, d):
     return L.calibration(_usage(spark, d, "memory_id", "outcome"), table(spark, d, "memories"))
@@ -135,10 +136,10 @@ def agg_23(spark, d):
 @query(
     "agg_24",
     ONCE
-    + ", s as (select cast(cast(created_at as date) as varchar) as day, used, cast(ceil(length(content) / 4.0) as bigint) as tokens from once join (select id, content from memories) m on m.id = memory_id where selected) select day, cast(sum(tokens) as bigint) as tokens, cast(sum(case when not used then tokens else 0 end) as bigint) as unused_tokens, round(case when sum(tokens) > 0 then sum(case when not used then tokens else 0 end) / sum(tokens) end, 6) as waste from s group by day",
+    + ", s as (select cast(cast(created_at as date) as varchar) as day, used, outcome, cast(ceil(length(content) / 4.0) as bigint) as tokens from once join (select id, content from memories) m on m.id = memory_id where selected) select day, round(count(*) filter (used) / count(*), 6) as precision, round(case when count(*) filter (used) > 0 then count(*) filter (outcome in ('helpful', 'validated')) / count(*) filter (used) end, 6) as helpfulness, round(count(*) filter (outcome in ('harmful', 'corrected')) / count(*), 6) as false_positive_rate, cast(sum(tokens) as bigint) as tokens, cast(sum(case when not used then tokens else 0 end) as bigint) as unused_tokens, round(case when sum(tokens) > 0 then sum(case when not used then tokens else 0 end) / sum(tokens) end, 6) as waste from s group by day",
 )
 def agg_24(spark, d):
-    return L.token_waste(_usage(spark, d, "memory_id", "created_at", "selected", "used"), table(spark, d, "memories"))
+    return L.token_waste(_usage(spark, d, "memory_id", "created_at", "selected", "used", "outcome"), table(spark, d, "memories"))
 
 
 @query("agg_25", ONCE + ", s as (select memory_id, count(distinct cast(created_at as date)) as days, count(distinct session_id) as sessions, count(distinct task_id) as tasks from once where outcome in ('helpful', 'validated') group by 1) select *, round((0.5 * days + 0.25 * sessions + 0.25 * tasks) / (0.5 * days + 0.25 * sessions + 0.25 * tasks + 3.0), 6) as strength from s")

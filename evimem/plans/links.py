@@ -10,7 +10,7 @@ from evimem.operators import ledger as L
 from evimem.operators import links as K
 from evimem.plans.ledger import ONCE
 from evimem.plans.registering import AS_OF, registrar
-from evimem.plans.text import feature_lists
+from evimem.plans.text import FEATURES, feature_lists
 from evimem.session import written
 from evimem.sources.tables import table
 
@@ -43,11 +43,6 @@ def agg_1(spark, d):
     return K.association_support(_pairs(spark, d))
 
 
-@query("agg_2", SUPPORT + " select *, round(least(0.18::double, 0.04 + 0.02 * ln(1 + witnesses)), 6) as increment from support where helpful > 0 or witnesses >= 3")
-def agg_2(spark, d):
-    return K.gated(K.association_support(_pairs(spark, d)))
-
-
 def likened(pairs, memories):
     """`pairs` with the likeness of their records; features are made once, and of records that are in a pair only."""
     pairs = written(pairs, "pairs")
@@ -55,9 +50,19 @@ def likened(pairs, memories):
     return K.similarity(pairs, written(feature_lists(memories.select("id", "content").join(named, "id", "left_semi")), "features"))
 
 
-@query("agg_2_all")
-def agg_2_all(spark, d):
-    """agg_2 with the reference's second gate: without a helpful witness the records must be alike. Features have no short SQL; it is tested."""
+#: CTEs after a list of pairs: the likeness of the records of `asked` pairs.
+LIKENESS = f"""{FEATURES}, sums as (select id, sum(weight) as total from feats group by id),
+shared as (select src_id, dst_id, sum(least(a.weight, b.weight)) as n from asked join feats a on a.id = src_id join feats b on b.id = dst_id and b.feature = a.feature group by 1, 2),
+liking as (select p.src_id, p.dst_id, round(least(1.0, coalesce(n, 0) / greatest(1.0, least(coalesce(x.total, 0), coalesce(y.total, 0)))), 6) as similarity from asked p left join shared s on s.src_id = p.src_id and s.dst_id = p.dst_id left join sums x on x.id = p.src_id left join sums y on y.id = p.dst_id)"""
+
+
+@query(
+    "agg_2",
+    SUPPORT
+    + f", asked as (select src_id, dst_id from support), {LIKENESS} select support.*, round(least(0.18::double, 0.04 + 0.02 * ln(1 + witnesses)), 6) as increment, similarity from support join liking using (src_id, dst_id) where helpful > 0 or (witnesses >= 3 and similarity >= 0.35)",
+)
+def agg_2(spark, d):
+    """Associations that may be proposed: a helpful witness, or else three witnesses of records that are alike."""
     return K.alike(likened(K.gated(K.association_support(_pairs(spark, d))), table(spark, d, "memories")))
 
 
@@ -130,11 +135,13 @@ def jn_6(spark, d):
     return K.interference(table(spark, d, "orders"), ["o_custkey"], "o_orderkey", "o_orderstatus", "o_totalprice")
 
 
-@query("jn_8", "with e as (select distinct unnest([src_id, dst_id]) as id, src_id, dst_id from edges) select id, count(*) as edges from e where id in (select memory_id from usage_records where outcome = 'harmful') group by id")
+@query("jn_8", "select id, count(distinct (src_id, dst_id)) as edges from (select unnest([src_id, dst_id]) as id, src_id, dst_id, created_at from edges) e where exists (select 1 from usage_records u where outcome = 'harmful' and u.memory_id = e.id and u.created_at >= e.created_at) group by id")
 def jn_8(spark, d):
-    ends = table(spark, d, "edges").select("src_id", "dst_id", F.explode(F.array("src_id", "dst_id")).alias("id")).distinct()
-    bad = table(spark, d, "usage_records").where("outcome = 'harmful'").select(F.col("memory_id").alias("id")).distinct()
-    return ends.join(bad, "id", "left_semi").groupBy("id").agg(F.count("*").alias("edges"))
+    """Edges at either end of which a memory did harm after the edge was made."""
+    ends = table(spark, d, "edges").select("src_id", "dst_id", "created_at", F.explode(F.array("src_id", "dst_id")).alias("id")).groupBy("id", "src_id", "dst_id").agg(F.min("created_at").alias("created_at"))
+    # the latest harm decides, so a hot memory is one row
+    bad = table(spark, d, "usage_records").where("outcome = 'harmful'").groupBy(F.col("memory_id").alias("id")).agg(F.max("created_at").alias("last_harm"))
+    return ends.join(bad, "id").where("last_harm >= created_at").groupBy("id").agg(F.count("*").alias("edges"))
 
 
 @query(
@@ -183,8 +190,7 @@ def win_4(spark, d):
 
 @query("win_5", "select doc_id, title, row_number() over (partition by title order by doc_id) as occurrence from documents where title is not null")
 def win_5(spark, d):
-    n = F.row_number().over(Window.partitionBy("title").orderBy("doc_id")).cast("bigint")
-    return table(spark, d, "documents").where("title is not null").select("doc_id", "title", n.alias("occurrence"))
+    return K.numbered(table(spark, d, "documents").where("title is not null").select("doc_id", "title"), ["title"], [F.col("doc_id")], "occurrence")
 
 
 @query("win_6", "select kind, id, place from (select kind, id, row_number() over (partition by kind order by confidence * currentness_confidence desc, id) as place from memories) where place <= 8")
@@ -271,7 +277,7 @@ def snk_2(spark, d):
 @query(
     "gr_1",
     """with known as (select * from edges where src_id is not null and dst_id is not null and src_id <> dst_id and relation <> 'contradicts'),
-steps as (select a, b, max(w) as w from (select src_id as a, dst_id as b, coalesce(weight, 0) as w from known where relation <> 'supersedes' union all select dst_id, src_id, coalesce(weight, 0) from known where relation in ('supersedes', 'useful_together')) group by 1, 2 having max(w) > 0),
+steps as (select a, b, max(w) as w from (select src_id as a, dst_id as b, coalesce(weight, 0) as w from known where relation not in ('supersedes', 'supports') union all select dst_id, src_id, coalesce(weight, 0) from known where relation in ('supersedes', 'supports', 'useful_together')) group by 1, 2 having max(w) > 0),
 shared as (select a, b, w / greatest(sum(w) over (partition by a), 1.0) as p from steps),
 one as (select id as seed, b as id, 0.5 * p as boost from memories join shared on a = id where pinned),
 two as (select seed, b as id, sum(boost * p) * 0.5 as boost from one join shared on a = one.id group by 1, 2)

@@ -72,10 +72,16 @@ def _age(column: str) -> str:
 
 
 HALF = f"({_case(R.HALF_LIFE, 'kind', 120.0)})"
+# spaced helpful use and unused selections of each memory
+REHEARSED = f"""{ONCE.strip().removeprefix('with ')},
+spacing as (select memory_id, 0.5 * count(distinct cast(created_at as date)) + 0.25 * count(distinct session_id) + 0.25 * count(distinct task_id) as spread from once where outcome in ('helpful', 'validated') group by 1),
+idle as (select memory_id, count(*) filter (selected and not coalesce(used, false)) as unused from once where memory_id is not null group by 1),
+rehearsed as (select m.*, coalesce(round(spread / (spread + 3.0), 6), 0) as spaced, coalesce(unused, 0) as unused from memories m left join idle i on i.memory_id = m.id left join spacing s on s.memory_id = m.id)"""
 SIGNALS = f"""
-base as (select *, success_count + confirmed_count + helpful_count + validated_count as good, false_positive_count + harmful_count as bad from memories),
+{REHEARSED},
+base as (select *, success_count + confirmed_count + helpful_count + validated_count as good, false_positive_count + harmful_count as bad from rehearsed),
 sig as (select id, kind, state, pinned, content, importance, confidence, uniqueness, coalesce(stranded, false) as stranded, scope['project'] as project, context_mode = 'context_dependent' as dependent,
-round(least(greatest(0.54 / (1 + {_age('coalesce(last_helpful_at, updated_at)')} / greatest(1.0, {HALF} * greatest(0.2, 1.15 - volatility))) + 0.28 * least(1.0, ln(1 + 0.25 * least(2, used_count) + 1.5 * success_count + 2.0 * confirmed_count + 1.5 * helpful_count + 2.0 * validated_count) / ln(12.0)), 0.0), 1.0), 6) as activation,
+round(least(greatest(0.54 / (1 + {_age('coalesce(last_helpful_at, updated_at)')} / greatest(1.0, {HALF} * greatest(0.2, 1.15 - volatility))) + 0.28 * least(1.0, ln(1 + 0.25 * least(2, used_count) + 1.5 * success_count + 2.0 * confirmed_count + 1.5 * helpful_count + 2.0 * validated_count) / ln(12.0)) + 0.18 * spaced - 0.10 * least(1.0, unused / 5), 0.0), 1.0), 6) as activation,
 round(least(greatest((good + 1.5) / (used_count + 3.0) - 0.7 * bad / greatest(3.0, used_count + bad + 2.0), 0.0), 1.0), 6) as utility,
 round(least(greatest(0.55 * ({_case(R.SOURCE_PRIOR, 'coalesce(origin_source_category, source_category)', 0.64)}) + 0.45 * least(greatest(coalesce(trust, 0.0), 0.0), 1.0), 0.0), 1.0), 6) as source_reliability,
 round(coalesce(currentness_confidence, 0.7) * case when timestamp '{AS_OF}' < valid_from then 0.25 when timestamp '{AS_OF}' > valid_to then 0.10 else 1.0 end, 6) as currentness,
@@ -85,24 +91,19 @@ round(least(1.0, bad / greatest(1, used_count + bad)), 6) as wrong_rate from bas
 NOW = f"timestamp_ntz '{AS_OF}'"
 
 
-def _signals(memories):
-    return R.record_signals(memories, F.expr(NOW))
-
-
-@query("scl_16", f"with {SIGNALS} select id, activation, utility, source_reliability, currentness, memory_type, stale_risk, wrong_rate from sig")
-def scl_16(spark, d):
-    return _signals(table(spark, d, "memories")).select("id", "activation", "utility", "source_reliability", "currentness", "memory_type", "stale_risk", "wrong_rate")
-
-
 def _rehearsed(spark, d, memories):
     usage = L.delivered_once(table(spark, d, "usage_records"), "memory_id", "created_at", "session_id", "task_id", "outcome", "selected", "used")
     return memories.join(L.rehearsal(usage), "id", "left")
 
 
-@query("scl_16_all")
-def scl_16_all(spark, d):
-    """scl_16 with spaced use and unused selections in the activation, which scl_16 and its SQL leave out."""
-    return _signals(_rehearsed(spark, d, table(spark, d, "memories"))).select("id", "activation", "utility", "source_reliability", "currentness", "memory_type", "stale_risk", "wrong_rate")
+def _signals(spark, d, memories):
+    return R.record_signals(_rehearsed(spark, d, memories), F.expr(NOW))
+
+
+@query("scl_16", f"with {SIGNALS} select id, activation, utility, source_reliability, currentness, memory_type, stale_risk, wrong_rate from sig")
+def scl_16(spark, d):
+    """Signals of each record; the activation counts spaced use and unused selections."""
+    return _signals(spark, d, table(spark, d, "memories")).select("id", "activation", "utility", "source_reliability", "currentness", "memory_type", "stale_risk", "wrong_rate")
 
 
 SCORED = f"""
@@ -119,7 +120,7 @@ best as (select * from (select *, row_number() over (partition by query_id order
 
 
 def scored(spark, d):
-    return R.scored(_candidates(spark, d), _signals(_live(spark, d)), _queries(spark, d), K.flags(table(spark, d, "memories"), table(spark, d, "edges")))
+    return R.scored(_candidates(spark, d), _signals(spark, d, _live(spark, d)), _queries(spark, d), K.flags(table(spark, d, "memories"), table(spark, d, "edges")))
 
 
 @query("scl_19", f"with {BM25}, {LEXICAL}, {SIGNALS}, {SCORED} select query_id, id, score, result_place from best")
@@ -142,7 +143,7 @@ def searched(spark, d):
     )
     groups = L.admitted_groups(table(spark, d, "memories")).where("admitted")
     sources = (R.bm25(asked, records).select("query_id", "id", "rank"), featured, R.by_project(asked, scoped), R.by_neighborhood(asked, scoped, groups), R.due(asked, live, F.expr(NOW)))
-    signals, marks = _signals(_rehearsed(spark, d, live)).drop("content"), K.flags(table(spark, d, "memories"), edges)
+    signals, marks = _signals(spark, d, live).drop("content"), K.flags(table(spark, d, "memories"), edges)
     score = lambda c: R.weighted(R.lexical(R.matched_words(c, asked, records)).join(signals, "id").join(marks, "id", "left")).select("query_id", "id", "kind", "pinned", "score")
     # texts are joined again at the end, so that only slim rows are written
     first = written(score(R.united(*sources)), "scored")
@@ -232,13 +233,13 @@ def agg_31(spark, d):
     "agg_32",
     f"""with c as (select cast(cast(run_at as date) as varchar) as cluster, sum(correct::int) as total, count(*) as n from {OBSERVATIONS} group by 1),
 k as (select *, row_number() over (order by cluster) - 1 as k, count(*) over () as m from c),
-d as (select b, cast('0x' || substr(md5('7:' || b || ':' || k), 1, 8) as bigint) % m as pick from k, range(1, 201) r(b)),
+d as (select b, cast('0x' || substr(md5('7:' || b || ':' || k), 1, 8) as bigint) % m as pick from k, range(1, 5001) r(b)),
 m as (select b, sum(total) / sum(n) as mean from d join k on k.k = pick group by 1)
 select count(*) as draws, round(quantile_cont(mean, 0.025), 6) as low, round(quantile_cont(mean, 0.5), 6) as middle, round(quantile_cont(mean, 0.975), 6) as high from m""",
 )
 def agg_32(spark, d):
     clusters = table(spark, d, OBSERVATIONS).groupBy(F.to_date("run_at").cast("string").alias("cluster")).agg(F.count_if("correct").alias("total"), F.count("*").alias("n"))
-    return E.bootstrap(clusters)
+    return E.bootstrap(clusters, 5000)
 
 
 @query("agg_33", f"with s as (select model, avg(correct::int) as q, quantile_cont(memory_prepare_ms, 0.95) as p from {OBSERVATIONS} where memory_prepare_ms > 0 group by 1) select model, round(100 * q, 6) as quality, round(100 * least(1.0, 50 / p), 6) as speed, round(85 * q + 15 * least(1.0, 50 / p), 6) as score from s")

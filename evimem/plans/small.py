@@ -10,7 +10,7 @@ from evimem.operators import ledger as L
 from evimem.operators import links as K
 from evimem.operators import retrieval as R
 from evimem.plans.ledger import ONCE
-from evimem.plans.links import PAIRS, _pairs, likened
+from evimem.plans.links import LIKENESS, PAIRS, _pairs, likened
 from evimem.plans.registering import AS_OF, registrar
 from evimem.plans.text import NORMAL, SENTENCES, STOPS
 from evimem.sources.tables import table
@@ -123,16 +123,9 @@ def scl_41(spark, d):
     return table(spark, d, "edges").groupBy("src_id", "dst_id", "relation").agg(r6(F.least(F.lit(1.0), F.max(F.coalesce("weight", F.lit(0.0))) + add)).alias("weight"))
 
 
-@query("scl_42", PAIRS + "select task_id, src_id, dst_id, round(greatest(0.05, least(a.confidence, b.confidence) * 0.75), 6) as score from pairs join memories a on a.id = src_id join memories b on b.id = dst_id")
+@query("scl_42", PAIRS + f", asked as (select distinct src_id, dst_id from pairs), {LIKENESS} select task_id, pairs.src_id, pairs.dst_id, round(greatest(0.05, least(a.confidence, b.confidence) * (0.75 + 0.25 * similarity)), 6) as score from pairs join liking using (src_id, dst_id) join memories a on a.id = pairs.src_id join memories b on b.id = pairs.dst_id")
 def scl_42(spark, d):
-    m = table(spark, d, "memories")
-    one, two = m.select(F.col("id").alias("src_id"), F.col("confidence").alias("a")), m.select(F.col("id").alias("dst_id"), F.col("confidence").alias("b"))
-    return _pairs(spark, d).join(one, "src_id").join(two, "dst_id").select("task_id", "src_id", "dst_id", r6(F.greatest(F.lit(0.05), F.least("a", "b") * 0.75)).alias("score"))
-
-
-@query("scl_42_all")
-def scl_42_all(spark, d):
-    """scl_42 with the likeness of the two records, whose part of the score scl_42 and its SQL leave out."""
+    """Replay score of each pair: the weaker record's confidence, a quarter of it by likeness."""
     m = table(spark, d, "memories")
     one, two = m.select(F.col("id").alias("src_id"), F.col("confidence").alias("a")), m.select(F.col("id").alias("dst_id"), F.col("confidence").alias("b"))
     return likened(_pairs(spark, d), m).join(one, "src_id").join(two, "dst_id").select("task_id", "src_id", "dst_id", K.replay_score(F.col("a"), F.col("b"), F.col("similarity")).alias("score"))

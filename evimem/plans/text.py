@@ -134,12 +134,14 @@ def _score(markers, column: str) -> str:
 
 
 DATE = r"list_filter(regexp_extract_all(content, '\b\d{4}-\d{2}-\d{2}\b'), lambda x: try_strptime(x, '%Y-%m-%d') is not null)[1]"
+TIMED = r"list_filter(regexp_extract_all(content, '\b\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}'), lambda x: try_strptime(x, '%Y-%m-%dT%H:%M') is not null)[1]"
+SLASH = r"list_filter(regexp_extract_all(content, '\b\d{1,2}/\d{1,2}/\d{2,4}\b'), lambda x: cast(string_split(x, '/')[1] as int) between 1 and 12 and cast(string_split(x, '/')[2] as int) between 1 and 31)[1]"
 NAMED = r"list_filter(regexp_extract_all(content, '(?i)\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2},?\s+\d{4}\b'), lambda x: try_strptime(regexp_replace(replace(x, ',', ''), '\s+', ' ', 'g'), '%b %d %Y') is not null)[1]"
 
 
 @query(
     "scl_23",
-    f"""with s as (select id, content, coalesce({DATE}, {NAMED}) as as_of from memories where trim(content) <> ''),
+    f"""with s as (select id, content, coalesce({DATE}, {TIMED}, {NAMED}, {SLASH}) as as_of from memories where trim(content) <> ''),
 v as (select id, as_of, {_score(T.VOLATILE, 'content')} + case when as_of is not null and regexp_matches(content, {_q(T.DATED_VALUES)}, 'i') then 3 else 0 end as volatile, {_score(T.DURABLE, 'content')} as durable from s)
 select id, as_of, volatile, durable, case when volatile = 0 then 'durable' when durable = 0 then 'volatile' when volatile >= 2 then 'mixed' else 'mostly_durable' end as class from v""",
 )

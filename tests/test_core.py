@@ -68,11 +68,13 @@ def test_undo_of_decay_gives_back_everything(spark):
 
 
 def test_walk_directions(spark):
-    edges = spark.createDataFrame([("old", "new", "supports", 0.5), ("new", "old", "supersedes", 1.0), ("a", "b", "contradicts", 1.0), ("a", "c", "useful_together", 1.0), ("a", "a", "related", 1.0), (None, "a", "related", 1.0)], "src_id string, dst_id string, relation string, weight double")
-    seeds = spark.createDataFrame([("new",), ("old",), ("a",), ("b",), ("c",)], "seed string")
+    edges = spark.createDataFrame([("evidence", "claim", "supports", 0.9), ("new", "old", "supersedes", 1.0), ("a", "b", "contradicts", 1.0), ("a", "c", "useful_together", 1.0), ("a", "a", "related", 1.0), (None, "a", "related", 1.0)], "src_id string, dst_id string, relation string, weight double")
+    seeds = spark.createDataFrame([("new",), ("old",), ("a",), ("b",), ("c",), ("claim",), ("evidence",)], "seed string")
     got = {(r["seed"], r["id"]) for r in K.walk(seeds, edges).collect()}
     # what superseded a record is reached from it, never the other way; contradictions lead nowhere
     assert ("old", "new") in got and ("new", "old") not in got
+    # a claim leads to its evidence, evidence never to what rests on it
+    assert ("claim", "evidence") in got and ("evidence", "claim") not in got
     assert ("a", "c") in got and ("c", "a") in got and ("a", "b") not in got
     assert all(s != i for s, i in got)
 
