@@ -36,7 +36,7 @@ def test_sources_and_words_of_candidates(spark):
 
 def test_walk_adds_new_records_and_lifts_known_ones(spark):
     rows = spark.createDataFrame([(1, "a", 0.8), (1, "b", 0.4), (2, "b", 0.6)], "query_id bigint, id string, score double")
-    edges = spark.createDataFrame([("a", "b", "supports", 1.0), ("b", "c", "supports", 1.0)], "src_id string, dst_id string, relation string, weight double")
+    edges = spark.createDataFrame([("a", "b", "leads_to", 1.0), ("b", "c", "leads_to", 1.0)], "src_id string, dst_id string, relation string, weight double")
     boosts = K.reached(R.seeds(rows), edges, depth=1).select(F.col("seed").alias("query_id"), "id", F.col("boost").alias("graph"))
     known, new = R.expanded(rows, boosts)
     assert {tuple(r) for r in known.select("query_id", "id", "score").collect()} == {(1, "a", 0.8), (1, "b", 0.44), (2, "b", 0.6)}
