@@ -8,6 +8,7 @@ import re
 import sys
 import unicodedata
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -114,7 +115,11 @@ class Bpe:
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         """Token ids of one piece."""
-        last, out, at = self.table(piece), [], len(piece)
+        return self.tokens(self.table(piece))
+
+    def tokens(self, last: list[int]) -> tuple[int, ...]:
+        """The encoding that a table of last tokens stands for."""
+        out, at = [], len(last) - 1
         while at:
             out.append(last[at])
             at -= self.size[last[at]]
@@ -171,12 +176,69 @@ def encode(text: str | None, known: Pieces) -> list[int]:
     return list(itertools.chain.from_iterable(map(known.__getitem__, pieces(text)))) if text else []
 
 
-def append(ids: list[int], text: str, more: str, known: Pieces) -> list[int]:
-    """Ids of text + more from the ids of `text`: only the pieces from the last two of `text` on are encoded again."""
-    kept = pieces(text)[-2:] if text else []
-    tail = "".join(kept)
-    again = sum(len(known[p]) for p in kept)
-    return ids[: len(ids) - again] + encode(tail + more, known)
+class Encoded:
+    """A text with its pieces and, for each, the table of the last token of every prefix: what appends and edits go on from."""
+
+    __slots__ = ("starts", "tables", "text")
+
+    def __init__(self, text: str, starts: list[int], tables: list[list[int]]):
+        self.text, self.starts, self.tables = text, starts, tables
+
+    def ids(self, bpe: Bpe) -> list[int]:
+        """Token ids of the whole text."""
+        return [t for table in self.tables for t in bpe.tokens(table)]
+
+
+def _scanner(text: str):
+    """The pattern of pieces for `text`: a piece that begins at a border depends on what follows only."""
+    if _odd_characters().isdisjoint(text):
+        return _QUICK
+    import public_tokenizers
+    import regex
+
+    return regex.compile(public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+
+
+def stored(text: str, bpe: Bpe) -> Encoded:
+    """`text` with the tables of its pieces."""
+    return edited(Encoded("", [], []), 0, 0, text, bpe)[0]
+
+
+def edited(old: Encoded, start: int, stop: int, new: str, bpe: Bpe) -> tuple[Encoded, int]:
+    """`old` with text[start:stop] replaced by `new`, and how many bytes were encoded for it; an append is an edit at the end.
+
+    Pieces that end before the edit stay, as none looks further than two characters ahead. From there pieces are cut anew until one begins, behind the
+    edit, where an old one began: all that follow stay too. A piece that begins as an old one did goes on from that one's table, so
+    of one very long piece only the bytes from the edit on are encoded.
+    """
+    text, moved = old.text[:start] + new + old.text[stop:], len(new) - (stop - start)
+    ends = [*old.starts[1:], len(old.text)][: len(old.starts)]
+    keep = bisect_left(ends, start - 1)
+    at = old.starts[keep] if keep < len(old.starts) else len(old.text)
+    if keep == len(old.starts) and keep:
+        keep, at = keep - 1, old.starts[-1]
+    scan = _scanner(text).match
+    starts, tables, work = old.starts[:keep], old.tables[:keep], 0
+    first = keep
+    while at < len(text):
+        if at >= start + len(new):
+            again = bisect_left(old.starts, at - moved)
+            if again < len(old.starts) and old.starts[again] == at - moved and at - moved >= stop:
+                starts += [x + moved for x in old.starts[again:]]
+                tables += old.tables[again:]
+                break
+        end = scan(text, at).end()
+        piece, before = text[at:end].encode(), None
+        if first < len(old.starts) and old.starts[first] == at:
+            was = old.text[at : ends[first]].encode()
+            same = next((k for k, (a, b) in enumerate(zip(was, piece, strict=False)) if a != b), min(len(was), len(piece)))
+            before = old.tables[first][: same + 1]
+        first += 1
+        work += len(piece) - (len(before) - 1 if before else 0)
+        starts.append(at)
+        tables.append(bpe.table(piece, before) if before is None or len(before) <= len(piece) else before)
+        at = end
+    return Encoded(text, starts, tables), work
 
 
 def _encoder(vocabulary, keep: list[str], sizes: bool):

@@ -310,7 +310,27 @@ PARTS = st.sampled_from(["a", " ", "  ", "\n", "\t", "\x1c", "\x85", " ", "²",
 def test_ids_are_those_of_the_public_tokenizer(known, reference, text, more):
     ids = tokens.encode(text, known)
     assert ids == reference(text)
-    assert tokens.append(ids, text, more, known) == reference(text + more)
+    longer, _ = tokens.edited(tokens.stored(text, known.bpe), len(text), len(text), more, known.bpe)
+    assert longer.ids(known.bpe) == reference(text + more)
+
+
+@settings(max_examples=300, deadline=None)
+@given(text=st.lists(PARTS, max_size=30).map("".join), new=st.lists(PARTS, max_size=4).map("".join), a=st.integers(0, 60), n=st.integers(0, 8))
+def test_edits_are_encoded_as_whole_texts(known, reference, text, new, a, n):
+    a = min(a, len(text))
+    b = min(a + n, len(text))
+    changed, _ = tokens.edited(tokens.stored(text, known.bpe), a, b, new, known.bpe)
+    assert changed.text == text[:a] + new + text[b:] and changed.ids(known.bpe) == reference(changed.text)
+
+
+def test_edits_cost_what_they_change(known, reference):
+    text = "The quick brown fox jumps over the lazy dog. " * 2000
+    old = tokens.stored(text, known.bpe)
+    changed, work = tokens.edited(old, 45_004, 45_009, "slow", known.bpe)
+    assert changed.ids(known.bpe) == reference(changed.text) and work < 60
+    long = tokens.stored("ab" * 50_000, known.bpe)
+    longer, work = tokens.edited(long, 100_000, 100_000, "abc", known.bpe)
+    assert work <= 3 and longer.ids(known.bpe) == tokens.stored(longer.text, known.bpe).ids(known.bpe)
 
 
 def test_a_table_goes_on_where_it_ended(known):
