@@ -142,8 +142,10 @@ def _read(known):
 
 
 def _shaped(b: pd.DataFrame) -> pd.DataFrame:
-    """All columns of `_FOUND`, with nulls where `b` has none."""
-    return b.reindex(columns=["key", *[c.split()[0] for c in _FOUND.split(", ")]]).astype(object).where(lambda x: x.notna(), None)
+    """All columns of `_FOUND`; those that `b` lacks are null, 0 or false and have no meaning."""
+    empty = {"string": None, "int": 0, "bigint": 0, "boolean": False}
+    columns = {name: empty[kind] for name, kind in (c.split() for c in _FOUND.split(", "))}
+    return b.assign(**{c: v for c, v in ({"key": None} | columns).items() if c not in b.columns})[["key", *columns]]
 
 
 def limits(lengths: DataFrame) -> DataFrame:
