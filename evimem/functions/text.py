@@ -25,32 +25,33 @@ SECRETS = [
 ]
 #: Signs of injected instructions, by the reason that is given for them.
 INJECTIONS = [
-    ("exfiltration request", r"\b(?:reveal|print|exfiltrate|send)\b[\s\S]{0,80}\b(?:system prompt|api key|credentials?|secrets?)\b"),
     ("instruction override", r"\bignore\s+(?:all\s+)?(?:previous|prior|system)\s+instructions?\b"),
+    ("exfiltration request", r"\b(?:reveal|print|exfiltrate|send)\b[\s\S]{0,80}\b(?:system prompt|api key|credentials?|secrets?)\b"),
     ("role override", r"\byou are now\b[\s\S]{0,80}\b(?:system|developer|administrator|root)\b"),
     ("role-tag injection", r"<\s*/?\s*(?:system|developer|assistant)\b|<\s*/\s*tool\b|<\s*tool\s+[^>]*>"),
 ]
 ROLE_TAGS = r"<\s*/?\s*(?:system|developer|assistant)\b[^>]*>|<\s*/?\s*tool\b[^>]*>"
 STOP = (
-    "a an and are as at be been by can did do does for from had has have how i if in is it me my of on or our so that the their them "
-    "there they this to us was we were what when where which who why will with would you your"
-).split()
-SUFFIXES = "ingly edly ation ments ment ness ing ers ies ed es s".split()
+    "a", "an", "and", "are", "as", "at", "be", "been", "by", "can", "did", "do", "does", "for", "from", "had", "has", "have", "how", "i", "if", "in",
+    "is", "it", "me", "my", "of", "on", "or", "our", "so", "that", "the", "their", "them", "there", "they", "this", "to", "us", "was", "we", "were",
+    "what", "when", "where", "which", "who", "why", "will", "with", "would", "you", "your",
+)
+SUFFIXES = ("ingly", "edly", "ation", "ments", "ment", "ness", "ing", "ers", "ies", "ed", "es", "s")
 CONCEPTS = {
-    "host": "host server vps machine computer backend node",
-    "database": "database datastore store storage sql sqlite backend",
-    "location": "where location path directory folder stored runs",
-    "preference": "prefer preference favorite style usually default",
-    "decision": "decision decide chosen chose choice approved picked",
-    "failure": "error failed failure broken issue problem exception",
-    "repair": "fix fixed repair resolved solution workaround recovery",
-    "tool": "tool command action function call workflow procedure",
-    "research": "search research source web online browse paper",
-    "deployment": "deploy deployment release publish production install",
-    "current": "current currently now latest today active present",
-    "historical": "previous previously former formerly history historical old",
-    "identity": "identity profile person name user",
-    "communication": "response respond answer message email chat",
+    "host": ("host", "server", "vps", "machine", "computer", "backend", "node"),
+    "database": ("database", "datastore", "store", "storage", "sql", "sqlite", "backend"),
+    "location": ("where", "location", "path", "directory", "folder", "stored", "runs"),
+    "preference": ("prefer", "preference", "favorite", "style", "usually", "default"),
+    "decision": ("decision", "decide", "chosen", "chose", "choice", "approved", "picked"),
+    "failure": ("error", "failed", "failure", "broken", "issue", "problem", "exception"),
+    "repair": ("fix", "fixed", "repair", "resolved", "solution", "workaround", "recovery"),
+    "tool": ("tool", "command", "action", "function", "call", "workflow", "procedure"),
+    "research": ("search", "research", "source", "web", "online", "browse", "paper"),
+    "deployment": ("deploy", "deployment", "release", "publish", "production", "install"),
+    "current": ("current", "currently", "now", "latest", "today", "active", "present"),
+    "historical": ("previous", "previously", "former", "formerly", "history", "historical", "old"),
+    "identity": ("identity", "profile", "person", "name", "user"),
+    "communication": ("response", "respond", "answer", "message", "email", "chat"),
 }
 VOLATILE = [
     (r"\buptime\b", 3),
@@ -88,7 +89,7 @@ DURABLE = [
     (r"\b(username|account|credential|token|key)\b", 1),
     (r"\b(installed|configured|set up|built)\b", 1),
 ]
-DATED_VALUES = r"\$\s?\d[\d,]*(\.\d{2})?|\d+(\.\d+)?\s?%|\bv?\d+\.\d+(\.\d+|\.x)?\b"
+DATED_VALUES = [r"\$\s?\d[\d,]*(\.\d{2})?", r"\d+(\.\d+)?\s?%", r"\bv?\d+\.\d+(\.\d+|\.x)?\b"]
 #: Kinds of statements in the order in which they are tried: pattern, importance, confidence, volatility.
 STATEMENTS = [
     ("prospective", r"\b(?:remind me|need to|plan to|todo|to-do|follow up|don't forget|commit(?:ment)? to)\b", 0.90, 0.84, 0.20),
@@ -103,9 +104,10 @@ EXPLICIT = r"^\s*(?:please\s+)?remember(?:\s+that)?\s*[:,.-]?\s*"
 TRANSIENT = r"\b(?:i|we)\s+(?:want|need|plan)\s+(?:you\s+)?to\b|\b(?:today|right now|for now|this turn|in this response)\b"
 STABLE = r"\b(?:always|never|usually|generally|by default|from now on|whenever)\b"
 TOPIC_STOP = (
-    "about again and are assistant attention before close closely could current detailed does during focus for from have help how into latest "
-    "memory need pay please remember should that the this use using what when where which with would your"
-).split()
+    "about", "again", "and", "are", "assistant", "attention", "before", "close", "closely", "could", "current", "detailed", "does", "during",
+    "focus", "for", "from", "have", "help", "how", "into", "latest", "memory", "need", "pay", "please", "remember", "should", "that", "the", "this",
+    "use", "using", "what", "when", "where", "which", "with", "would", "your",
+)
 #: Cues of the recall planner.
 CUES = {
     "greeting": r"^\s*(?:hi|hey|hello|thanks|thank you|good (?:morning|afternoon|evening|night)|ok(?:ay)?|sounds good|got it|understood|cool|nice)[.! ]*\s*$",
@@ -115,7 +117,9 @@ CUES = {
     "tool": r"\b(?:tool|call|command|shell|terminal|build|test|deploy|install|research|search|browser|filesystem|github|calendar|email|server|ssh|api|mcp)\b",
     "hops": r"\b(?:why|compare|relationship|related|connect|combine|both|across|root cause|what changed|how did|timeline)\b",
     "current": r"\b(?:current|currently|now|today|latest|present|still|active)\b",
-    "historical": r"\b(?:previously|formerly|historical|history|back then|last (?:week|month|year)|used to|during)\b|\b(?:19\d{2}|20\d{2}|21\d{2})\b",
+    "historical": r"\b(?:previously|formerly|historical|history|back then|last (?:week|month|year)|used to|during)\b",
+    "year": r"\b(19\d{2}|20\d{2}|21\d{2})\b",
+    "arithmetic": r"^\s*(?:(?:what(?:'s| is)|solve|evaluate)\s+)?(?:\(?\s*-?\d+(?:\.\d+)?\s*\)?\s*)(?:[+\-*/%^]|\*\*)\s*(?:\(?\s*-?\d+(?:\.\d+)?\s*\)?\s*)(?:(?:[+\-*/%^]|\*\*)\s*(?:\(?\s*-?\d+(?:\.\d+)?\s*\)?\s*))*[?=.! ]*$",
     "attention": r"\b(?:pay close attention to|focus closely on|use detailed memory (?:for|about))\b",
 }
 
@@ -139,7 +143,7 @@ def redacted(text: Column) -> Column:
 
 def quarantine_reason(text: Column) -> Column:
     """Reasons for which a text must not be recalled, sorted and joined; null without any."""
-    reasons = F.array_join(F.array_compact(F.array(*[F.when(has(text, p), F.lit(reason)) for reason, p in INJECTIONS])), ", ")
+    reasons = F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(has(text, p), F.lit(reason)) for reason, p in INJECTIONS]))), ", ")
     return F.when(reasons != "", reasons)
 
 
@@ -166,7 +170,7 @@ def feature_tokens(text: Column) -> Column:
     """The first 48 tokens of the feature index, in order and with repeats."""
     raw = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_~./:@+-]{2,})"), 1)
     bare = F.transform(raw, lambda t: F.regexp_replace(t, r"^[.,;!?()\[\]{}\"']+|[.,;!?()\[\]{}\"']+$", ""))
-    return F.slice(F.filter(bare, lambda t: (t != "") & ~t.isin(STOP)), 1, 48)
+    return F.slice(F.filter(bare, lambda t: (t != "") & ~t.isin(*STOP)), 1, 48)
 
 
 def features(token: Column, following: Column) -> Column:
@@ -181,7 +185,7 @@ def features(token: Column, following: Column) -> Column:
     trigrams = F.when((F.length(token) >= 6) & token.rlike(r"^\p{L}+$"), F.transform(grams, lambda g: made("tri:", g, 0.10)))
     groups = {}
     for name, aliases in CONCEPTS.items():
-        for alias in aliases.split():
+        for alias in aliases:
             groups.setdefault(alias, []).append(name)
     concepts = F.create_map(*[x for alias, names in groups.items() for x in (F.lit(alias), F.array(*map(F.lit, names)))])
     named = lambda t: F.coalesce(F.transform(F.element_at(concepts, t), lambda c: made("concept:", c, 0.88)), F.array())
@@ -212,7 +216,7 @@ def stated_date(text: Column) -> Column:
 def temporal_class(text: Column) -> tuple[Column, Column, Column, Column]:
     """Class (durable, volatile, mixed, mostly_durable), volatile score, durable score and stated date of a text."""
     as_of = stated_date(text)
-    volatile = marker_score(text, VOLATILE) + F.when(as_of.isNotNull() & has(text, DATED_VALUES), 3).otherwise(0)
+    volatile = marker_score(text, VOLATILE) + F.when(as_of.isNotNull() & reduce(Column.__or__, [has(text, p) for p in DATED_VALUES]), 3).otherwise(0)
     durable = marker_score(text, DURABLE)
     kind = F.when(volatile == 0, "durable").when(durable == 0, "volatile").when(volatile >= 2, "mixed").otherwise("mostly_durable")
     return kind, volatile, durable, as_of
@@ -244,22 +248,41 @@ def statement(sentence: Column) -> Column:
     return F.when(fits, out)
 
 
-def plan(text: Column, limit: int = 6, budget: int = 700, threshold: float = 0.16) -> Column:
-    """How a query is to be recalled: mode, number of records, token budget, score threshold, steps in the graph."""
+def plan(text: Column, limit: int = 6, budget: int = 700, threshold: float = 0.16, now: Column | None = None) -> Column:
+    """How a query is to be recalled: mode, number of records, token budget, score threshold, steps in the graph, tools, and for which time.
+
+    A year named in the query makes it historical, as of the year's end, or of `now` in the current year. Greetings, and sums and
+    rewritings that do not touch what is remembered, recall nothing.
+    """
     t = normalized(text)
     cue = {name: has(t, pattern) for name, pattern in CUES.items()}
+    historical = cue["historical"] | cue["year"]
+    year = F.regexp_extract(t, CUES["year"], 1)
+    at = F.current_timestamp() if now is None else now
+    end = F.when(year != "", F.when(year == F.date_format(at, "yyyy"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.concat(year, F.lit("-12-31T23:59:59"))))
+
+    def made(mode: str, n: int, tokens_: int, least: float, depth: int, tools: int, timed: bool = True) -> Column:
+        when = F.when(historical, "historical").otherwise("current") if timed else F.lit("current")
+        return F.struct(
+            F.lit(mode).alias("mode"),
+            F.lit(min(limit, n)).alias("limit"),
+            F.lit(min(budget, tokens_)).alias("token_budget"),
+            F.lit(round(least, 6)).alias("threshold"),
+            F.lit(depth).alias("graph_depth"),
+            F.when(cue["tool"], tools).otherwise(0).alias("tool_limit"),
+            when.alias("temporal_mode"),
+            (end if timed else F.lit(None).cast("string")).alias("as_of"),
+        )
 
-    def made(mode: str, n: int, tokens_: int, least: float, depth: int) -> Column:
-        return F.struct(F.lit(mode).alias("mode"), F.lit(min(limit, n)).alias("limit"), F.lit(min(budget, tokens_)).alias("token_budget"), F.lit(round(least, 6)).alias("threshold"), F.lit(depth).alias("graph_depth"))
-
-    none = (t == "") | cue["greeting"] | (cue["stateless"] & ~(cue["personal"] | cue["decision"] | cue["historical"]))
-    deep = cue["attention"] | cue["hops"] | (cue["historical"] & cue["decision"])
-    focused = cue["personal"] | cue["decision"] | cue["historical"] | cue["current"]
+    none = (t == "") | cue["greeting"] | ((cue["stateless"] | cue["arithmetic"]) & ~(cue["personal"] | cue["decision"] | historical))
+    deep = cue["attention"] | cue["hops"] | (historical & cue["decision"])
+    focused = cue["personal"] | cue["decision"] | historical | cue["current"]
     late = min(0.30, threshold + 0.02)
-    return F.when(none, made("none", 0, 0, threshold, 1)).when(deep, made("deep", 6, 680, max(0.08, threshold - 0.02), 2)).when(focused, made("focused", 6, 620, threshold, 1)).when(cue["tool"], made("procedural", 6, 620, late, 1)).otherwise(made("lean", 6, 620, late, 1))
+    choice = F.when(none, made("none", 0, 0, threshold, 1, 0, False)).when(deep, made("deep", 6, 680, max(0.08, threshold - 0.02), 2, 3))
+    return choice.when(focused, made("focused", 6, 620, threshold, 1, 2)).when(cue["tool"], made("procedural", 6, 620, late, 1, 3)).otherwise(made("lean", 6, 620, late, 1, 0))
 
 
 def topics(text: Column, most: int = 6) -> Column:
     """The first different topic words of a query, lower-cased."""
     found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([A-Za-z][A-Za-z0-9._-]{2,31})"), 1), lambda t: F.regexp_replace(F.lower(t), r"^[._-]+|[._-]+$", ""))
-    return F.slice(F.array_distinct(F.filter(found, lambda t: (F.length(t) >= 3) & ~t.isin(TOPIC_STOP) & ~t.rlike(r"^\d+$"))), 1, most)
+    return F.slice(F.array_distinct(F.filter(found, lambda t: (F.length(t) >= 3) & ~t.isin(*TOPIC_STOP) & ~t.rlike(r"^\d+$"))), 1, most)

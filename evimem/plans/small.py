@@ -68,13 +68,14 @@ def scl_10(spark, d):
     return table(spark, d, "usage_records").select("usage_id", "score").distinct().select("usage_id", "score", r6(R.relevance(rank)).alias("relevance"))
 
 
+# Words of a query and the words that expand it.
 GROUPS = [
-    ("format response respond style answer", "prefer preference concise summary detail"),
-    ("fix broken error issue problem", "workaround resolved verified root cause"),
-    ("where location path host hosted", "runs stored server backend"),
-    ("decision choose choice approach", "decided chose picked uses"),
+    (("format", "response", "respond", "style", "answer"), ("prefer", "preference", "concise", "summary", "detail")),
+    (("fix", "broken", "error", "issue", "problem"), ("workaround", "resolved", "verified", "root", "cause")),
+    (("where", "location", "path", "host", "hosted"), ("runs", "stored", "server", "backend")),
+    (("decision", "choose", "choice", "approach"), ("decided", "chose", "picked", "uses")),
 ]
-_IN = lambda words: ", ".join(f"'{w}'" for w in words.split())
+_IN = lambda words: ", ".join(f"'{w}'" for w in words)
 
 
 @query(
@@ -85,7 +86,7 @@ _IN = lambda words: ", ".join(f"'{w}'" for w in words.split())
 )
 def scl_11(spark, d):
     words = T.tokens(F.col("content"))
-    lists = [F.when(F.arrays_overlap("w", F.array(*map(F.lit, a.split()))), F.array(*map(F.lit, b.split()))).otherwise(F.array().cast("array<string>")) for a, b in GROUPS]
+    lists = [F.when(F.arrays_overlap("w", F.array(*map(F.lit, a))), F.array(*map(F.lit, b))).otherwise(F.array().cast("array<string>")) for a, b in GROUPS]
     rows = table(spark, d, "memories").select("id", "content", words.alias("w")).select("id", "content", F.array_sort(F.array_distinct(F.concat(*lists))).alias("x"))
     return rows.select("id", F.when(F.size("x") > 0, F.concat_ws(" ", "content", F.array_join("x", " "))).otherwise(F.col("content")).alias("expanded"))
 

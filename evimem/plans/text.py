@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evimem.functions import text as T
 from evimem.functions.numbers import r6
-from evimem.plans.registering import registrar
+from evimem.plans.registering import AS_OF, registrar
 from evimem.session import spread_out
 from evimem.sources.tables import table
 
@@ -36,7 +36,7 @@ def scl_1(spark, d):
     return table(spark, d, "memories").select("id", T.normalized(F.col("content")).alias("content"))
 
 
-REASONS = "concat_ws(', ', " + ", ".join(f"case when regexp_matches(t, {_q(p)}, 'i') then {_q(r)} end" for r, p in T.INJECTIONS) + ")"
+REASONS = "concat_ws(', ', " + ", ".join(f"case when regexp_matches(t, {_q(p)}, 'i') then {_q(r)} end" for r, p in sorted(T.INJECTIONS)) + ")"
 
 
 @query("scl_3", f"with s as (select id, {_redacted('content')} as t, {NORMAL.format('content')} as n from memories) select id, t as content, nullif({REASONS}, '') as reason, t <> n as redacted from s")
@@ -70,7 +70,7 @@ def _stem(t: str) -> str:
     return f"case when length({t}) < 5 or not regexp_full_match({t}, '\\p{{L}}+') then {t} {whens} else {t} end"
 
 
-ALIASES = ", ".join(f"('{name}', '{a}')" for name, text in T.CONCEPTS.items() for a in text.split())
+ALIASES = ", ".join(f"('{name}', '{a}')" for name, aliases in T.CONCEPTS.items() for a in aliases)
 FEATURES = rf"""
 raw as (select id, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_~./:@+-]{{2,}}') as r from memories),
 each as (select id, generate_subscripts(r, 1) as k, regexp_replace(unnest(r), '^[.,;!?()\[\]{{}}"'']+|[.,;!?()\[\]{{}}"'']+$', '', 'g') as t from raw),
@@ -142,7 +142,7 @@ NAMED = r"list_filter(regexp_extract_all(content, '(?i)\b(?:Jan|Feb|Mar|Apr|May|
 @query(
     "scl_23",
     f"""with s as (select id, content, coalesce({DATE}, {TIMED}, {NAMED}, {SLASH}) as as_of from memories where trim(content) <> ''),
-v as (select id, as_of, {_score(T.VOLATILE, 'content')} + case when as_of is not null and regexp_matches(content, {_q(T.DATED_VALUES)}, 'i') then 3 else 0 end as volatile, {_score(T.DURABLE, 'content')} as durable from s)
+v as (select id, as_of, {_score(T.VOLATILE, 'content')} + case when as_of is not null and regexp_matches(content, {_q('|'.join(T.DATED_VALUES))}, 'i') then 3 else 0 end as volatile, {_score(T.DURABLE, 'content')} as durable from s)
 select id, as_of, volatile, durable, case when volatile = 0 then 'durable' when durable = 0 then 'volatile' when volatile >= 2 then 'mixed' else 'mostly_durable' end as class from v""",
 )
 def scl_23(spark, d):
@@ -170,16 +170,21 @@ def _cue(name: str) -> str:
     return f"regexp_matches(t, {_q(T.CUES[name])}, 'i')"
 
 
+_HIST = f"({_cue('historical')} or {_cue('year')})"
+
+
 @query(
     "scl_28",
     f"""with s as (select doc_id, {NORMAL.format('title')} as t from documents),
-m as (select doc_id, case when t = '' or {_cue('greeting')} or ({_cue('stateless')} and not ({_cue('personal')} or {_cue('decision')} or {_cue('historical')})) then 'none'
-when {_cue('attention')} or {_cue('hops')} or ({_cue('historical')} and {_cue('decision')}) then 'deep'
-when {_cue('personal')} or {_cue('decision')} or {_cue('historical')} or {_cue('current')} then 'focused' when {_cue('tool')} then 'procedural' else 'lean' end as mode from s)
-select doc_id, mode, case when mode = 'none' then 0 else 6 end as "limit", case mode when 'none' then 0 when 'deep' then 680 else 620 end as token_budget, case mode when 'deep' then 0.14::double when 'procedural' then 0.18 when 'lean' then 0.18 else 0.16 end as threshold, case when mode = 'deep' then 2 else 1 end as graph_depth from m""",
+m as (select doc_id, t, case when t = '' or {_cue('greeting')} or (({_cue('stateless')} or {_cue('arithmetic')}) and not ({_cue('personal')} or {_cue('decision')} or {_HIST})) then 'none'
+when {_cue('attention')} or {_cue('hops')} or ({_HIST} and {_cue('decision')}) then 'deep'
+when {_cue('personal')} or {_cue('decision')} or {_HIST} or {_cue('current')} then 'focused' when {_cue('tool')} then 'procedural' else 'lean' end as mode from s)
+select doc_id, mode, case when mode = 'none' then 0 else 6 end as "limit", case mode when 'none' then 0 when 'deep' then 680 else 620 end as token_budget, case mode when 'deep' then 0.14::double when 'procedural' then 0.18 when 'lean' then 0.18 else 0.16 end as threshold, case when mode = 'deep' then 2 else 1 end as graph_depth,
+case when mode = 'none' or not {_cue('tool')} then 0 when mode = 'focused' then 2 else 3 end as tool_limit, case when mode <> 'none' and {_HIST} then 'historical' else 'current' end as temporal_mode,
+case when mode <> 'none' and {_cue('year')} then case when regexp_extract(t, {_q(T.CUES['year'])}, 1) = '2026' then '2026-07-01T00:00:00' else regexp_extract(t, {_q(T.CUES['year'])}, 1) || '-12-31T23:59:59' end end as as_of from m""",
 )
 def scl_28(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.plan(F.col("title")).alias("p")).select("doc_id", "p.*")
+    return table(spark, d, "documents").select("doc_id", T.plan(F.col("title"), now=F.lit(AS_OF).cast("timestamp_ntz")).alias("p")).select("doc_id", "p.*")
 
 
 @query(

@@ -32,37 +32,29 @@ def manifest_changes(old: DataFrame, new: DataFrame, key: str, digest: str) -> D
     return both.select(key, F.when(F.col("_old").isNull(), "new").when(F.col("_new").isNull(), "removed").when(F.col("_old") == F.col("_new"), "unchanged").otherwise("changed").alias("change"))
 
 
-_HEADING, _FENCE, _LINK = re.compile(r"(#{1,6})\s+(.*?)\s*#*\s*$"), re.compile(r"\s{0,3}(```+|~~~+)"), re.compile(r"\[\[([^\]|#]+)(?:#[^\]|]*)?(?:\|[^\]]*)?\]\]")
+_HEADING, _FENCE = re.compile(r"(#{1,6})\s+(.*?)\s*#*\s*$"), re.compile(r"\s{0,3}(```+|~~~+)")
+_LINK = r"\[\[([^\]|#]+)(?:#[^\]|]*)?(?:\|[^\]]*)?\]\]"
 
 
 def slug(title: str) -> str:
     return re.sub(r"[^\w]+", "-", title.lower()).strip("-")
 
 
-def split_parts(text: str, most: int = MOST_CHARS) -> list[str]:
-    """Paragraphs packed into parts of at most `most` characters; a longer paragraph is cut at that size."""
-    parts: list[str] = []
-    held = ""
-    for paragraph in re.split(r"\n\s*\n", text):
-        paragraph = paragraph.strip()
-        while len(paragraph) > most:
-            if held:
-                parts.append(held)
-                held = ""
-            parts.append(paragraph[:most])
-            paragraph = paragraph[most:]
-        if not paragraph:
-            continue
-        if held and len(held) + 2 + len(paragraph) > most:
-            parts.append(held)
-            held = paragraph
-        else:
-            held = f"{held}\n\n{paragraph}" if held else paragraph
-    return [*parts, held] if held else parts
+def packed(text: Column, most: int = MOST_CHARS) -> Column:
+    """Paragraphs of a text put together, in order, into parts of at most `most` characters; a longer paragraph is cut at that size."""
+    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    pieces = F.flatten(F.transform(paragraphs, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / most).cast("int")), lambda k: F.substring(p, k * most + 1, F.lit(most)))))
+
+    def put(parts: Column, piece: Column) -> Column:
+        last = F.element_at(parts, -1)
+        joined = F.concat(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(F.concat(last, F.lit("\n\n"), piece)))
+        return F.when((F.size(parts) > 0) & (F.length(F.try_element_at(parts, F.lit(-1))) + 2 + F.length(piece) <= most), joined).otherwise(F.concat(parts, F.array(piece)))
+
+    return F.aggregate(pieces, F.array().cast("array<string>"), put)
 
 
-def sections(text: str, most: int = MOST_CHARS) -> list[tuple[str, str, int, int, str, list[str]]]:
-    """(breadcrumb, slug, occurrence, part, text, links) of each part: front matter and comments are left out, headings in fences are text."""
+def sections(text: str) -> list[tuple[str, str, int, str]]:
+    """(breadcrumb, slug, occurrence, text) of each section with text: front matter and comments are left out, headings in fences are text."""
     text = re.sub(r"\A---\n.*?\n---\s*(?:\n|\Z)", "", text, count=1, flags=re.S)
     text = re.sub(r"<!--.*?-->", "", text, flags=re.S)
     stack: list[tuple[int, str]] = []
@@ -81,28 +73,31 @@ def sections(text: str, most: int = MOST_CHARS) -> list[tuple[str, str, int, int
             found[-1][1].append(line)
     out, seen = [], {}
     for crumb, lines in found:
-        parts = split_parts("\n".join(lines), most)
-        if not parts:
-            continue
-        name = slug(crumb)
-        seen[name] = seen.get(name, 0) + 1
-        out += [(crumb, name, seen[name], k + 1, part, _LINK.findall(part)) for k, part in enumerate(parts)]
+        body = "\n".join(lines)
+        if body.strip():
+            name = slug(crumb)
+            seen[name] = seen.get(name, 0) + 1
+            out.append((crumb, name, seen[name], body))
     return out
 
 
 def document_sections(df: DataFrame, key: str, text: str, most: int = MOST_CHARS) -> DataFrame:
     """`key, ordinal, breadcrumb, slug, occurrence, part, text, links` of Markdown texts; null and empty texts have none.
 
-    The parser keeps state from line to line, so it runs in Arrow batches; documents are independent and nothing is shuffled.
+    The parser keeps state from line to line, so it runs in Arrow batches, one row a document; parts are packed by column functions.
+    Documents are independent and nothing is shuffled.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, n, *s) for k, t in zip(b["key"], b["text"], strict=True) for n, s in enumerate(sections(t or "", most), 1)]
-            yield pd.DataFrame(rows, columns=["key", "ordinal", "breadcrumb", "slug", "occurrence", "part", "text", "links"])
+            yield pd.DataFrame({"key": b["key"], "sections": [[dict(zip(("breadcrumb", "slug", "occurrence", "body"), s, strict=True)) for s in sections(t or "")] for t in b["text"]]})
 
     kind = dict(df.dtypes)[key]
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, ordinal int, breadcrumb string, slug string, occurrence int, part int, text string, links array<string>").withColumnRenamed("key", key)
+    read = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, sections array<struct<breadcrumb string, slug string, occurrence int, body string>>")
+    parted = lambda s: F.transform(packed(s["body"], most), lambda p, k: F.struct(s["breadcrumb"].alias("breadcrumb"), s["slug"].alias("slug"), s["occurrence"].alias("occurrence"), (k + 1).alias("part"), p.alias("text")))
+    rows = read.select("key", F.posexplode(F.flatten(F.transform("sections", parted))).alias("pos", "p"))
+    links = F.regexp_extract_all("p.text", F.lit(_LINK), 1)
+    return rows.select(F.col("key").alias(key), (F.col("pos") + 1).alias("ordinal"), "p.breadcrumb", "p.slug", "p.occurrence", "p.part", "p.text", links.alias("links"))
 
 
 def turns(df: DataFrame, key: str, text: str) -> DataFrame:

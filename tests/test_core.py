@@ -205,6 +205,16 @@ def test_plans(spark):
     df = texts(spark, "thanks!", "", "translate this", "why did the build break", "what did we decide in 2024", "run the test in the shell", "apples", "my current plan")
     got = [r[0]["mode"] for r in df.select(T.plan(F.col("t"))).collect()]
     assert got == ["none", "none", "none", "deep", "deep", "procedural", "lean", "focused"]
+    more = texts(spark, "what is 2 + 2?", "12 * (3) =", "my note of 2024", "what did the shell do in 2031", "run the test", "previously")
+    rows = [r[0] for r in more.select(T.plan(F.col("t"), now=F.lit("2031-05-06 07:08:09").cast("timestamp_ntz"))).collect()]
+    assert [(r["mode"], r["temporal_mode"], r["as_of"], r["tool_limit"]) for r in rows] == [
+        ("none", "current", None, 0),
+        ("none", "current", None, 0),
+        ("focused", "historical", "2024-12-31T23:59:59", 0),
+        ("focused", "historical", "2031-05-06T07:08:09", 2),
+        ("procedural", "current", None, 3),
+        ("focused", "historical", None, 0),
+    ]
 
 
 def test_topics(spark):

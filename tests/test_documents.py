@@ -5,6 +5,8 @@ from datetime import datetime
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from evimem.sources import documents as D
 from evimem.streaming import rollups as S
 
@@ -44,16 +46,17 @@ def test_sections(spark):
     df = spark.createDataFrame([(1, NOTE), (2, None), (3, "")], "doc_id bigint, text string").selectExpr("*", "1 as key", "2 as slug")
     got = [(r["doc_id"], r["breadcrumb"], r["slug"], r["occurrence"], r["part"]) for r in D.document_sections(df, "doc_id", "text").orderBy("ordinal").collect()]
     assert got == [(1, "", "", 1, 1), (1, "Top", "top", 1, 1), (1, "Top > Sub", "top-sub", 1, 1), (1, "Top > Sub", "top-sub", 2, 1)]
-    _, top = D.sections(NOTE)[0], D.sections(NOTE)[1]
-    assert top[5] == ["Other Note", "Third"] and "# not a heading" in top[4]
+    top = D.document_sections(df, "doc_id", "text").where("breadcrumb = 'Top'").first()
+    assert top["links"] == ["Other Note", "Third"] and "# not a heading" in top["text"]
 
 
-def test_parts_keep_all_text():
+def test_parts_keep_all_text(spark):
+    cut = lambda text, most: spark.createDataFrame([(text,)], "t string").select(D.packed(F.col("t"), most)).first()[0]
     text = "a" * 25 + "\n\n" + "b" * 4 + "\n\n" + "c" * 4 + "\n\n\n" + "d" * 9
-    parts = D.split_parts(text, 10)
+    parts = cut(text, 10)
     assert parts == ["a" * 10, "a" * 10, "a" * 5, "bbbb\n\ncccc", "d" * 9] or parts == ["a" * 10, "a" * 10, "aaaaa", "bbbb\n\ncccc", "d" * 9]
     assert all(len(p) <= 10 for p in parts)
-    assert D.split_parts("", 10) == []
+    assert cut("", 10) == []
 
 
 def test_turns(spark):
