@@ -44,3 +44,20 @@ def bootstrap(clusters: DataFrame, times: int = 200, seed: str = "7") -> DataFra
     means = drawn.groupBy("b").agg((F.sum("total") / F.sum("n")).alias("mean"))
     q = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return means.agg(F.count("*").alias("draws"), q.alias("q")).select("draws", *[r6(F.col("q")[k]).alias(n) for k, n in enumerate(("low", "middle", "high"))])
+
+
+def nested_bootstrap(cells: DataFrame, inner: str, times: int, seed: str = "7") -> DataFrame:
+    """As `bootstrap`, in two levels: clusters are drawn, and for each drawn cluster as many of its cells (`cluster, <inner>, total, n`) as it has.
+
+    Cells are aggregates already (days by labels), so the work is draws x cells, whatever the number of rows behind them.
+    """
+    pick = lambda of, *parts: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *parts)), 1, 8), 16, 10).cast("bigint") % F.col(of)
+    clusters = cells.select("cluster").distinct().withColumn("k", (F.row_number().over(Window.orderBy("cluster")) - 1).cast("bigint")).withColumn("m", F.count("*").over(Window.partitionBy()))
+    own = Window.partitionBy("cluster")
+    numbered = cells.withColumn("i", (F.row_number().over(own.orderBy(F.asc_nulls_first(inner))) - 1).cast("bigint")).withColumn("mi", F.count("*").over(own)).select("cluster", "i", "mi", "total", "n")
+    draws = clusters.select(F.col("k").alias("place"), "m", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("b"))
+    drawn = draws.select("b", "place", pick("m", "b", "place").alias("k")).join(clusters.select("k", "cluster"), "k")
+    within = drawn.join(numbered.select("cluster", "i", "mi"), "cluster").select("b", "cluster", pick("mi", "b", "place", "i").alias("i"))
+    means = within.join(numbered.select("cluster", "i", "total", "n"), ["cluster", "i"]).groupBy("b").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    q = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
+    return means.agg(F.count("*").alias("draws"), q.alias("q")).select("draws", *[r6(F.col("q")[k]).alias(n) for k, n in enumerate(("low", "middle", "high"))])

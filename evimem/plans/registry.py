@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evimem.plans import context, documents, history, ledger, links, retrieval, small, text
+from evimem.plans import context, documents, history, ledger, links, retrieval, small, text, upkeep
 
-MODULES = (history, ledger, links, retrieval, text, small, documents, context)
+MODULES = (history, ledger, links, retrieval, text, small, documents, context, upkeep)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,6 +9,7 @@ from evimem.functions.numbers import clamp, days_between, r6
 from evimem.operators import ledger as L
 from evimem.operators import links as K
 from evimem.operators import retrieval as R
+from evimem.operators.upkeep import work_queue
 from evimem.plans.ledger import ONCE
 from evimem.plans.links import LIKENESS, PAIRS, _pairs, likened
 from evimem.plans.registering import AS_OF, registrar
@@ -151,10 +152,14 @@ def set_3(spark, d):
     return both.select("src_id", "dst_id", r6(F.size(F.array_intersect("a", "b")) / F.greatest(F.lit(1), F.size(F.array_union("a", "b")))).alias("jaccard"))
 
 
-@query("sel_12", ONCE + f", p as (select usage_id, created_at from once where outcome = 'pending' and created_at < timestamp '{AS_OF}' - interval 12 hour) select usage_id from p order by created_at, usage_id limit 100")
+_PENDING = f", p as (select usage_id, created_at, created_at < timestamp '{AS_OF}' - interval 12 hour as due from once where outcome = 'pending'), new as (select * from (select * from p order by created_at desc, usage_id limit 100) where due)"
+
+
+@query("sel_12", ONCE + _PENDING + " select usage_id from new union all select usage_id from (select * from p where due and (select count(*) from new) = 0 order by created_at, usage_id limit 100)")
 def sel_12(spark, d):
-    old = L.delivered_once(table(spark, d, "usage_records"), "created_at", "outcome").where((F.col("outcome") == "pending") & (F.col("created_at") < F.expr(f"{NOW} - interval 12 hours")))
-    return old.orderBy("created_at", "usage_id").limit(100).select("usage_id")
+    """Pending uses to be settled next: of the newest those that are old enough, or else the oldest."""
+    rows = L.delivered_once(table(spark, d, "usage_records"), "created_at", "outcome").where("outcome = 'pending'")
+    return work_queue(rows, "created_at", "usage_id", F.col("created_at") < F.expr(f"{NOW} - interval 12 hours"), 100).select("usage_id")
 
 
 @query("ext_5", f"select id, valid_to, case when valid_to < timestamp '{AS_OF}' then 'overdue' when valid_to is null then 'open' else 'due later' end as due from memories where kind = 'prospective'")
