@@ -224,8 +224,9 @@ def percentiles(rows: DataFrame, keys: list[str], day: str, metrics: list[str],
 def observations(raw: DataFrame) -> DataFrame:
     """Each observation once, with the day it ran and its measurements; what is none (null, NaN, below zero, infinite, no prompt) is null.
 
-    Of several deliveries of one observation_id the first received counts. Rows without an id are left out.
+    Of several deliveries of one observation_id the first received counts (one without a time is the last), of
+    deliveries received at once the one with the least values. Rows without an id are left out.
     """
     good = lambda c, least: F.when((F.col(c) >= least) & ~F.isnan(F.col(c).cast("double")) & (F.col(c).cast("double") < float("inf")), F.col(c).cast("double"))
     values = F.struct("model", "condition", F.to_date("run_at").alias("day"), good("agent_ttft_ms", 0).alias("agent_ttft_ms"), good("memory_prepare_ms", 0).alias("memory_prepare_ms"), good("reported_prompt_tokens", 1).alias("reported_prompt_tokens"))
-    return raw.where("observation_id is not null").groupBy("observation_id").agg(F.min_by(values, "received_at").alias("v")).select("v.*")
+    return raw.where("observation_id is not null").groupBy("observation_id").agg(F.min_by(values, F.struct(F.col("received_at").isNull(), F.col("received_at"), values)).alias("v")).select("v.*")

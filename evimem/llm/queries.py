@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evimem.llm import copies, cuts, digests, mixing, neardup, personal, reading, tokens
 from evimem.sources.tables import OBSERVATIONS, table
@@ -13,6 +14,12 @@ def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return digests.percentiles(rows, ["model", "condition"], "day", ["agent_ttft_ms", "memory_prepare_ms", "reported_prompt_tokens"])
 
 
+def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many measurements stand behind the percentiles of each group and day, and whether all of these are certified."""
+    found = p2_percentiles(spark, folder).groupBy("model", "condition", "day", "metric")
+    return found.agg(F.max("n").alias("n"), F.min("certified").alias("certified")).withColumn("day", F.col("day").cast("string"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return cuts.judged(table(spark, folder, "memories"), "id", "content", "source_type").where("cut").selectExpr("key as memory_id")
 
@@ -67,7 +74,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_levels(spark, folder).where("prose and level >= 3.5").select("doc_id")
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_levels": p10_levels}
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_counts": p2_counts, "p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_levels": p10_levels}
 def _letters(text: str) -> str:
     return rf"lower(regexp_replace({text}, '[^\p{{L}}\p{{N}}]+', '', 'g'))"
 
@@ -80,7 +87,9 @@ list_filter(string_split_regex(plain, '\n|\s\|\s|;\s'), lambda p: regexp_matches
 f as (select id, seq, case when len(j) > 0 then j when len(parts) >= 2 and len(list_filter(parts, lambda p: not regexp_matches(p, '{_ITEM}'))) = 0 then list_transform(parts, lambda p: {_letters(f"regexp_extract(p, '{_ITEM}', 1)")} || '=' || {_letters(f"regexp_extract(p, '{_ITEM}', 2)")}) end as fields from l),
 r as (select id, seq, '#' || array_to_string(list_sort(fields), chr(10)) as record from f),
 canon as (select id, coalesce(min(record) over (partition by seq), seq) as c from r)"""
+_MEASURED = " union all ".join(f"select model, condition, day, '{m}' as metric from o where {m} >= {least} and not isnan({m}::double) and not isinf({m}::double)" for m, least in (("agent_ttft_ms", 0), ("memory_prepare_ms", 0), ("reported_prompt_tokens", 1)))
 SQL: dict[str, str] = {
+    "p2_counts": f"with o as (select *, cast(cast(run_at as date) as varchar) as day from (select *, row_number() over (partition by observation_id order by received_at nulls last) as k from {OBSERVATIONS} where observation_id is not null) where k = 1), m as ({_MEASURED}) select model, condition, day, metric, count(*) as n, true as certified from m group by 1, 2, 3, 4 union all select model, condition, null, metric, count(*), true from m group by 1, 2, 4",
     "p7_found": f"with {_CANON}, n as (select id, min(id) over (partition by c) as first_id from canon) select first_id, id as copy_id from n where id <> first_id",
     "p7_records": f"with {_CANON} select min(id) as id, count(*) as copies from canon group by c",
     "p6_found": rf"""with {_CANON}, w as (select id, list_distinct(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+')) as ws from memories),

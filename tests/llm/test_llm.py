@@ -41,6 +41,10 @@ def test_percentiles_of_odd_rows(spark):
     assert {r["metric"] for r in out} == {"agent_ttft_ms"} and {r["n"] for r in out} == {3}
     assert {(r["day"], r["value"]) for r in out if r["level"] == 0.5} == {(None, 2.0), (date(2024, 1, 1), 2.0)}
     assert all(r["certified"] for r in out)
+    # deliveries received at once: the least values, in whatever order the rows come
+    tied = spark.createDataFrame([(7, "m", "c", t, t, v, 1.0, 5, "x") for v in (3.0, 1.0, 2.0)] + [(7, "m", "c", t, None, 0.5, 1.0, 5, "x")], schema)
+    for parts in (1, 4):
+        assert [r["agent_ttft_ms"] for r in digests.observations(tied.repartition(parts)).collect()] == [1.0]
     assert digests.percentiles(digests.observations(df.where("false")), ["model", "condition"], "day", ["agent_ttft_ms"]).collect() == []
 
 
