@@ -3,25 +3,30 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from copy import copy
 from pathlib import Path
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evimem.llm.cues import AFTER, BEFORE, GIVEN, NO_PERSON, SURNAMES
 from evimem.llm.tokens import vocabulary_file
-from evimem.session import spread_out, written
+from evimem.session import discard, spread_out, written
 
 TYPES = ("email", "id_number", "address", "phone", "name")
 #: Labelers of each span: form, gazetteer or lexicon, words before, words after, inner consistency.
 LABELERS = 5
-#: Buckets of the classifier's features, and the texts (those of the least hashes) that EM, the learned given names and the classifier are fitted on.
-FEATURES, SAMPLE = 1 << 14, 12_000
+#: Buckets of the classifier's features, and the different examples up to which it is fitted in the driver; more are fitted by the tasks, with the same result.
+FEATURES, LOCAL = 1 << 14, 200_000
+#: Different candidates that a task counts before it hands them on.
+COUNTED = 100_000
 #: Buckets of the sketch of how words are written in the whole corpus; its size does not depend on the data.
 CASES = 1 << 20
 #: Different surnames from which, and mean probability with which, a word before them is learned as a given name.
@@ -47,13 +52,17 @@ _NO_TOWN = r"(?!(?:phone|callback|tel|call|mail|e-?mail|fax|and|or|but|who|which
 _PROPER = rf"(?-i:{_UP}{_W}*(?:[ \n'’-]{_UP}{_W}+){{0,2}})"
 _TOWN = rf"(?:,~\d{{4,5}}~(?:{_PROPER}|{_W}+)|(?:~(?:NW|NE|SW|SE|N|S|E|W)(?![^\W_]))?,~{_NO_TOWN}(?:{_PROPER}|{_W}+)(?:,~(?-i:[A-Z]{{2}})(?![^\W_]))?(?:~\d{{4,5}}(?!\d))?(?![^\W_]))"
 _WORDS, _DIGIT = re.compile(r"[^\W\d_]+"), re.compile(r"\d")
+_ODD = re.compile("[" + re.escape("".join(map(chr, _SPACES))) + "]")
 _PARTICLES = frozenset("van von der den del della dos bin ben ter las los".split())
 _TITLES, _INITIAL = frozenset("mr ms mrs miss dr prof herr frau mme sr sra don doña".split()), re.compile(r"(?<![\w@.+-])[^\W\d_]\.")
 _AT = r"(?:@|[ \n]?[\[({<][ \n]?at[ \n]?[\])}>][ \n]?)"
+# what texts without "@" must have for the first form of an email, and what all texts must for the forms of identity numbers that begin without a word
+_AT_APART = re.compile(r"(?i)[\[({<][ \n]?at[ \n]?[\])}>]")
+_NUMBERS = re.compile(r"\d\d(?:\d(?:\d{4}|-\d\d-\d{4}|\d{3}-\d{3})|[ \n]{1,3}\d\d)")
 # patterns; words of which a text must have one for a pattern to match; endings of words that do as well
 _FORMS = {
     "email": [
-        (_pattern(rf"(?:mailto:)?[\w.+-]+{_AT}[\w-]+(?:\.[\w-]+)+"), frozenset({"@", "at"}), None),
+        (_pattern(rf"(?:mailto:)?[\w.+-]+{_AT}[\w-]+(?:\.[\w-]+)+"), frozenset({"@"}), None),
         (_pattern(rf"[\w+-]+(?:~dot~[\w+-]+)*~at~[\w-]+(?:~dot~{_W}{{2,}})+\b(?!~at~)"), frozenset({"dot"}), None),
     ],
     "id_number": [
@@ -139,18 +148,20 @@ class Finder:
 
     def candidates(self, text: str, only_names: bool = False) -> list[tuple[int, int, int, tuple[int, ...], list[int], str, str]]:
         """(type, start, end, votes, features, given name, surname) of every candidate, by type."""
-        # only texts with a tab, a carriage return or other odd characters have anything to translate
-        plain = text if text.isascii() and "\t" not in text and "\r" not in text else text.translate(_SPACES)
+        plain = text.translate(_SPACES) if _ODD.search(text) else text
         out, taken = [], []
         # what every form of a type has spares most texts the costlier patterns
         words = set(_WORDS.findall(plain.lower()))
         digits = _DIGIT.search(plain) is not None
-        if "@" in plain:
+        numbers = digits and not only_names and _NUMBERS.search(plain) is not None
+        if "@" in plain or "at" in words and _AT_APART.search(plain):
             words.add("@")
         for kind, name in enumerate(TYPES[:4]):
             if name != "email" and (only_names or not digits):
                 continue
             for form, needed, endings in _FORMS[name]:
+                if needed is None and name == "id_number" and not numbers:
+                    continue
                 if needed is not None and needed.isdisjoint(words) and not (endings and any(w.endswith(endings) for w in words)):
                     continue
                 for m in form.finditer(plain):
@@ -271,29 +282,63 @@ def prior_weights() -> np.ndarray:
     return w
 
 
-def fit(features: list[list[int]], labels: np.ndarray, weights: np.ndarray, rounds: int = 200, rate: float = 0.2) -> np.ndarray:
-    """Weights of a logistic classifier on binary features with soft labels, drawn to the prior weights; the last weight is the bias."""
-    rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    at = np.concatenate([np.asarray(f, np.int64) for f in features])
-    share = weights / weights.sum()
+def _gradient(lengths: np.ndarray, at: np.ndarray, labels: np.ndarray, share: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient of the soft labels' likelihood at the weights `w`: `at` holds the examples' features one after another, `lengths` how many each has."""
+    rows = np.repeat(np.arange(len(lengths)), lengths)
+    z = np.bincount(rows, w[at], minlength=len(lengths)) + w[-1]
+    error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * share
+    return np.r_[np.bincount(at, error[rows], minlength=FEATURES), error.sum()]
+
+
+def _descent(gradient: Callable[[np.ndarray], np.ndarray], rounds: int = 200, rate: float = 0.2) -> np.ndarray:
     start = prior_weights()
     w, grad2 = start.copy(), np.full(FEATURES + 1, 1e-8)
     for _ in range(rounds):
-        z = np.bincount(rows, w[at], minlength=len(features)) + w[-1]
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * share
-        g = np.r_[np.bincount(at, error[rows], minlength=FEATURES), error.sum()] + 1e-4 * (w - start)
+        g = gradient(w) + 1e-4 * (w - start)
         grad2 += g * g
         w -= rate * g / np.sqrt(grad2)
     return w
 
 
+def fit(features: list[list[int]], labels: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weights of a logistic classifier on binary features with soft labels, drawn to the prior weights; the last weight is the bias."""
+    lengths, at, share = np.array([len(f) for f in features]), np.concatenate([np.asarray(f, np.int64) for f in features]), weights / weights.sum()
+    return _descent(lambda w: _gradient(lengths, at, labels, share, w))
+
+
+def fit_by_tasks(examples: DataFrame) -> np.ndarray:
+    """As `fit`, from a table `feats, label, weight` of any size: each task sums its part of the gradient, so the driver holds one row a task."""
+    total = examples.agg(F.sum("weight")).first()[0]
+    sc = examples.sparkSession.sparkContext
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        held = sc.broadcast(w)
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            g = np.zeros(FEATURES + 1)
+            for b in batches:
+                feats = b.column("feats")
+                g += _gradient(np.diff(feats.offsets.to_numpy()), feats.flatten().to_numpy(), b.column("label").to_numpy(), b.column("weight").to_numpy() / total, held.value)
+            yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary())], ["g"])
+
+        g = sum(np.frombuffer(r["g"]) for r in examples.mapInArrow(part, "g binary").collect())
+        held.destroy()
+        return g
+
+    return _descent(gradient)
+
+
 def spans(text: str, finder: Finder, weights: np.ndarray) -> list[tuple[int, int, int]]:
     """(type, start, end) of the mentions in `text`: candidates above one half, the likelier and then the longer first, without overlap.
 
     A number that an identity number's or address's pattern explains is no phone number, and no name lies inside another mention.
     """
+    return _chosen(finder.candidates(text), weights)
+
+
+def _chosen(candidates: list, weights: np.ndarray) -> list[tuple[int, int, int]]:
     found = []
-    for kind, start, end, _, feat, *_ in finder.candidates(text):
+    for kind, start, end, _, feat, *_ in candidates:
         z = weights[feat].sum() + weights[-1]
         if z > 0:
             found.append((kind == 4, kind == 3, start - end, -z, kind, start, end))
@@ -305,7 +350,7 @@ def spans(text: str, finder: Finder, weights: np.ndarray) -> list[tuple[int, int
 
 
 def _written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """How often the words of each bucket begin with a small and with a capital letter, words wholly in capitals left out."""
+    """How often the words of each bucket begin with a small and with a capital letter, single letters and words wholly in capitals left out."""
     small, capital = np.zeros(CASES, np.int32), np.zeros(CASES, np.int32)
     known: dict[str, int] = {}
     for b in batches:
@@ -317,7 +362,7 @@ def _written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if at is None:
                     if len(known) > 200_000:
                         known.clear()
-                    at = -1 if len(w) < 3 or w.isupper() else _bucket(w.lower()) * 2 + w[0].isupper()
+                    at = -1 if len(w) < 2 or w.isupper() else _bucket(w.lower()) * 2 + w[0].isupper()
                     known[w] = at
                 if at >= 0:
                     (capital if at & 1 else small)[at >> 1] += 1
@@ -339,55 +384,128 @@ def case_sketch(texts: DataFrame) -> bytes:
     return sketch.tobytes()
 
 
-def _find(finder, only_names: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _found(finder):
+    """Each row with the candidates of its `text` as JSON, null where there are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(kind, ",".join(map(str, vote)), feat, given, last) for text in b["text"] for kind, _, _, vote, feat, given, last in finder.value.candidates(text, only_names)]
-            yield pd.DataFrame(rows, columns=["kind", "votes", "feats", "given", "last"])
+            found = [json.dumps(c) if (c := finder.value.candidates(text)) else None for text in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], [*b.schema.names, "found"])
 
     return run
 
 
-_FOUND = "kind int, votes string, feats array<int>, given string, last string"
+def _renamed(finder, new: frozenset[str]):
+    """As `_found`, from the candidates before the words `new` were learned: only names can differ, and only in texts that have such a word."""
+    parts = frozenset(w for g in new for w in _WORDS.findall(g))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = b.column("found").to_pylist()
+            for k, text in enumerate(b.column("text").to_pylist()):
+                if not parts.isdisjoint(_WORDS.findall(text.lower())):
+                    c = [x for x in json.loads(found[k] or "[]") if x[0] != 4] + finder.value.candidates(text, only_names=True)
+                    found[k] = json.dumps(c) if c else None
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.string())], b.schema.names)
+
+    return run
+
+
+def _counted(found: DataFrame, names: bool) -> DataFrame:
+    """How often each candidate occurs: of names `votes, given, last, n`, of all `kind, votes, feats, n`; the tasks count first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple, int] = {}
+        out = lambda: pd.DataFrame([(*x, n) for x, n in seen.items()], columns=columns)
+        for b in batches:
+            for c in b["found"]:
+                for kind, _, _, votes, feats, given, last in json.loads(c):
+                    vote = ",".join(map(str, votes))
+                    if not names:
+                        x = (kind, vote, ",".join(map(str, feats)))
+                    elif kind == 4:
+                        x = (vote, given, last)
+                    else:
+                        continue
+                    seen[x] = seen.get(x, 0) + 1
+            if len(seen) > COUNTED:
+                yield out()
+                seen.clear()
+        yield out()
+
+    columns = ["votes", "given", "last", "n"] if names else ["kind", "votes", "feats", "n"]
+    schema = ", ".join(f"{c} {'int' if c == 'kind' else 'bigint' if c == 'n' else 'string'}" for c in columns)
+    return found.where("found is not null").select("found").mapInPandas(run, schema).groupBy(*columns[:-1]).agg(F.sum("n").alias("n"))
 
 
 def _posteriors(rows: list) -> dict[tuple[int, str], float]:
     """Probability of a mention by type and votes, from rows with `kind, votes, n`."""
     patterns: dict[int, dict] = {}
-    for r in rows:
-        seen, votes = patterns.setdefault(r["kind"], {}), tuple(map(int, r["votes"].split(",")))
-        seen[votes] = seen.get(votes, 0) + r["n"]
+    for kind, votes, n in sorted((r["kind"], r["votes"], r["n"]) for r in rows):
+        patterns.setdefault(kind, {})[tuple(map(int, votes.split(",")))] = n
     return {(kind, ",".join(map(str, votes))): p for kind, seen in patterns.items() for votes, p in reliabilities(seen).items()}
 
 
-def model(texts: DataFrame, finder: Finder, sample: int = SAMPLE) -> tuple[Finder, np.ndarray]:
-    """The finder with what it learned from the corpus, and the span classifier's weights.
+def _with_posterior(rows: DataFrame, kind: str) -> tuple[DataFrame, bool]:
+    """`rows` (`votes, n`) with the probability `p` that EM gives them, and whether there are any. Types and votes have a few hundred patterns at most."""
+    posterior = _posteriors(rows.groupBy(F.expr(kind).alias("kind"), "votes").agg(F.sum("n").alias("n")).collect())
+    few = rows.sparkSession.createDataFrame([(k, v, p) for (k, v), p in posterior.items()], "_kind int, votes string, p double")
+    return rows.withColumn("_kind", F.expr(kind)).join(F.broadcast(few), ["_kind", "votes"]).drop("_kind"), bool(posterior)
+
 
-    The sketch of cases covers all texts. EM, the given names and the classifier are fitted on the `sample` texts of the least hashes:
-    names of plain form are weighed first, and given names that recur in them are learned; then all candidates, those of learned
-    names in any notation among them, are weighed, and the classifier is fitted to what EM says of one example of each bucket of
-    features. So the driver holds at most one row for each candidate of the sample.
+def _learned(names: DataFrame) -> frozenset[str]:
+    """Words that go as given names with several surnames, most of them likely; each surname counts once however often it recurs.
+
+    A word with a hyphen is left as it is: it is found as a pair, and no word of a text would be looked up by it.
+    """
+    rows, _ = _with_posterior(names, "4")
+    pairs = rows.where("given <> '' and not contains(given, '-')").groupBy("given", "last").agg(F.max("p").alias("p"))
+    found = pairs.groupBy("given").agg(F.count("*").alias("n"), F.sum("p").alias("p")).where((F.col("n") >= LEARNED_TIMES) & (F.col("p") >= LEARNED_SHARE * F.col("n")))
+    return frozenset(r["given"] for r in found.select("given").collect()) - NO_PERSON
+
+
+def _fitted(candidates: DataFrame) -> np.ndarray:
+    """The span classifier, fitted to what EM says of one example of each set of features."""
+    counts = written(_counted(candidates, names=False), "examples")
+    rows, some = _with_posterior(counts, "kind")
+    if not some:
+        return prior_weights()
+    examples = rows.select(F.split("feats", ",").cast("array<int>").alias("feats"), F.col("p").alias("label"), F.sqrt("n").alias("weight"))
+    if counts.count() <= LOCAL:
+        local = examples.collect()
+        weights = fit([r["feats"] for r in local], np.array([r["label"] for r in local]), np.array([r["weight"] for r in local]))
+    else:
+        weights = fit_by_tasks(kept := written(examples, "labelled"))
+        discard(kept)
+    discard(counts)
+    return weights
+
+
+def _modelled(texts: DataFrame, finder: Finder, bare: bool) -> tuple[Finder, np.ndarray, DataFrame]:
+    """The finder with what it learned from the corpus, the span classifier's weights, and the rows of `texts` with their candidates (`found`; without `bare` only rows that have any).
+
+    All of it comes from all texts: names of plain form are weighed by EM first, and given names that recur in them are learned; then all
+    candidates, those of learned names in any notation among them, are weighed, and the classifier is fitted. Texts are searched once, those
+    that have a learned word once more for names. The driver holds the patterns of votes, the learned names and `LOCAL` examples at most.
     """
     sc = texts.sparkSession.sparkContext
-    some = written(texts.select("text").orderBy(F.xxhash64("text"), F.xxhash64(F.concat(F.lit("#"), "text"))).limit(sample), "sample")
-    some = some.repartition(sc.defaultParallelism)
     finder.learn(finder.learned, case_sketch(texts))
-    plain = some.mapInPandas(_find(sc.broadcast(finder), True), _FOUND).groupBy("kind", "votes", "given", "last").agg(F.count("*").alias("n")).collect()
-    posterior = _posteriors(plain)
-    seen: dict[str, dict[str, float]] = {}
-    for r in plain:
-        of = seen.setdefault(r["given"], {})
-        of[r["last"]] = max(of.get(r["last"], 0.0), posterior[r["kind"], r["votes"]])
-    # a given name goes with several surnames, most of them likely; each counts once however often it recurs
-    learned = frozenset(g for g, lasts in seen.items() if g and g not in NO_PERSON and len(lasts) >= LEARNED_TIMES and sum(lasts.values()) >= LEARNED_SHARE * len(lasts))
-    finder.learn(learned, finder.cases)
-    found = some.mapInPandas(_find(sc.broadcast(finder), False), _FOUND)
-    rows = found.groupBy("kind", "votes", F.xxhash64("feats").alias("bucket")).agg(F.count("*").alias("n"), F.min("feats").alias("feats")).collect()
-    if not rows:
-        return finder, prior_weights()
-    posterior = _posteriors(rows)
-    labels = np.array([posterior[r["kind"], r["votes"]] for r in rows])
-    return finder, fit([r["feats"] for r in rows], labels, np.sqrt([r["n"] for r in rows]))
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in texts.dtypes) + ", found string"
+    plain = written(texts.mapInArrow(_found(sc.broadcast(finder)), schema), "plain")
+    before = finder.lexicon
+    # a new finder, as the first is still being sent
+    finder = copy(finder).learn(_learned(_counted(plain, names=True)), finder.cases)
+    found = plain.mapInArrow(_renamed(sc.broadcast(finder), finder.lexicon ^ before), schema)
+    found = written(found if bare else found.where("found is not null"), "candidates")
+    discard(plain)
+    return finder, _fitted(found), found
+
+
+def model(texts: DataFrame, finder: Finder) -> tuple[Finder, np.ndarray]:
+    """The finder with what it learned from all of `texts` (`text`), and the span classifier's weights."""
+    finder, weights, found = _modelled(texts.select("text"), finder, bare=False)
+    discard(found)
+    return finder, weights
 
 
 def _keyed(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -395,13 +513,13 @@ def _keyed(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return spread_out(df.select(F.col(key).alias("key"), *fields)).select("key", F.explode(some).alias("x")).select("key", "x.field", "x.text")
 
 
-def _mentions(finder, weights):
+def _mentions(weights):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for key, field, text in zip(b["key"], b["field"], b["text"], strict=True):
+            for key, field, text, found in zip(b["key"], b["field"], b["text"], b["found"], strict=True):
                 seen = dict.fromkeys(range(len(TYPES)), 0)
-                for kind, start, end in spans(text, finder.value, weights.value):
+                for kind, start, end in _chosen(json.loads(found), weights.value):
                     seen[kind] += 1
                     out.append((key, field, TYPES[kind], seen[kind], start, end, text[start:end]))
             yield pd.DataFrame(out, columns=["key", "field", "pii_type", "nth", "start", "stop", "mention"])
@@ -412,20 +530,20 @@ def _mentions(finder, weights):
 def mentions(df: DataFrame, key: str, fields: list[str], finder: Finder | None = None) -> DataFrame:
     """`key, field, pii_type, nth, start, stop, mention`: every mention in reading order; offsets in code points.
 
-    No shuffle of the texts: one cheap pass counts how words are written, a bounded sample fits the model, one pass decides.
-    Null and empty texts have no mentions; repeated rows have theirs repeatedly; other columns are ignored.
+    No shuffle of the texts: one cheap pass counts how words are written, one finds candidates and stores them, from which the model is fitted
+    and then decides. Null and empty texts have no mentions; repeated rows have theirs repeatedly; other columns are ignored.
     """
-    texts = _keyed(df, key, fields)
-    finder, weights = map(df.sparkSession.sparkContext.broadcast, model(texts, finder or Finder()))
-    return texts.mapInPandas(_mentions(finder, weights), f"key {dict(df.dtypes)[key]}, field string, pii_type string, nth bigint, start int, stop int, mention string").withColumnRenamed("key", key)
+    _, weights, found = _modelled(_keyed(df, key, fields), finder or Finder(), bare=False)
+    weights = df.sparkSession.sparkContext.broadcast(weights)
+    return found.mapInPandas(_mentions(weights), f"key {dict(df.dtypes)[key]}, field string, pii_type string, nth bigint, start int, stop int, mention string").withColumnRenamed("key", key)
 
 
-def _redacted(finder, weights):
+def _redacted(weights):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for text in b["text"]:
-                for kind, start, end in reversed(spans(text, finder.value, weights.value)):
+            for text, found in zip(b["text"], b["found"], strict=True):
+                for kind, start, end in reversed(_chosen(json.loads(found or "[]"), weights.value)):
                     text = f"{text[:start]}[{TYPES[kind].upper()}]{text[end:]}"
                 out.append(text)
             yield b[["key", "field"]].assign(text=out)
@@ -435,6 +553,6 @@ def _redacted(finder, weights):
 
 def redacted(df: DataFrame, key: str, fields: list[str], finder: Finder | None = None) -> DataFrame:
     """`key, field, text`: each text that is not null with every mention replaced by its type in brackets, the rest unchanged."""
-    texts = _keyed(df, key, fields)
-    finder, weights = map(df.sparkSession.sparkContext.broadcast, model(texts, finder or Finder()))
-    return texts.mapInPandas(_redacted(finder, weights), f"key {dict(df.dtypes)[key]}, field string, text string").withColumnRenamed("key", key)
+    _, weights, found = _modelled(_keyed(df, key, fields), finder or Finder(), bare=True)
+    weights = df.sparkSession.sparkContext.broadcast(weights)
+    return found.mapInPandas(_redacted(weights), f"key {dict(df.dtypes)[key]}, field string, text string").withColumnRenamed("key", key)
