@@ -63,11 +63,13 @@ full_context as (select *, case when len(s) > 0 then list_sum(s) / len(s) when d
 case when dependent and ((cardinality(scope) > 0 and scope_match < 0.999) or precondition_match < 0.999 or system_match < 0.999 or version_match < 0.999 or (cardinality(scope) + cardinality(preconditions) + len(systems) + len(versions) = 0 and (len(entities) = 0 or entity_match <= 0))) then 0 else 1 end as gate from needs)"""
 
 
-def _contexts(spark, d):
-    """The candidates of the stated queries beside their records' contexts; a query's context is its project and its words."""
-    records = table(spark, d, "memories").select("id", "context_mode", "scope", "entities", "preconditions", "systems", "versions")
+def _contexts(spark, d, candidates=None, *more):
+    """The candidates of the stated queries beside their records' contexts and `more` columns; a query's context is its project and its words."""
+    records = table(spark, d, "memories").select("id", "context_mode", "scope", "entities", "preconditions", "systems", "versions", *more)
     none = F.array().cast("array<string>")
-    rows = _candidates(spark, d).select("query_id", "id").join(records, "id").join(_queries(spark, d).select("query_id", F.col("text").alias("query"), "project"), "query_id")
+    asking = _queries(spark, d).select("query_id", F.col("text").alias("query"), "project")
+    # the records' texts and maps come last and are not shuffled with each query
+    rows = (candidates or _candidates(spark, d)).select("query_id", "id").join(asking, "query_id").join(records, "id")
     asked = F.when(F.col("project").isNotNull(), F.create_map(F.lit("project"), "project")).otherwise(F.create_map().cast("map<string,string>"))
     return C.context_match(rows.withColumns({"asked_scope": asked, "asked_state": F.create_map().cast("map<string,string>"), "asked_entities": none, "asked_systems": none, "asked_versions": none}))
 

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from evimem.functions.text import tokens
 from evimem.operators import evaluation as E
 from evimem.operators import ledger as L
+from evimem.operators import links as K
 from evimem.operators import retrieval as R
 from evimem.operators import upkeep as U
 from evimem.plans.context import CONTEXT, _contexts
 from evimem.plans.ledger import ONCE
 from evimem.plans.registering import AS_OF, registrar
-from evimem.plans.retrieval import BM25, LEXICAL, NOW, SCORED, SIGNALS, scored
+from evimem.plans.retrieval import BM25, LEXICAL, NOW, SCORED, SIGNALS, _candidates, _live, _signals, scored
 from evimem.plans.text import _q
+from evimem.session import written
 from evimem.sources.tables import OBSERVATIONS, table
 
 QUERIES: dict = {}
@@ -90,13 +92,15 @@ select query_id, id, role, case role when 'reference' then greatest(lexical, phr
 )
 def flt_13(spark, d):
     """Which lexical candidates of the stated queries the role gate lets in."""
-    roles = table(spark, d, "memories").select("id", F.col("record_role").alias("role"))
     parts = ("scope", "entity", "system", "version", "precondition")
     has = {"scope": "scope", "entity": "entities", "system": "systems", "version": "versions", "precondition": "preconditions"}
     support = F.greatest(*[F.when(F.size(has[p]) > 0, F.col(f"{p}_match")).otherwise(0.0) for p in parts])
-    contexts = _contexts(spark, d).select("query_id", "id", support.alias("support"))
     technical = F.exists(F.filter(F.regexp_extract_all(F.lower("query"), F.lit(r"([a-z0-9_./-]+)"), 1), lambda t: t.rlike(r"[0-9_./-]")), lambda t: F.lower("content").contains(t))
-    rows = scored(spark, d).withColumn("technical", technical).join(contexts, ["query_id", "id"]).join(roles, "id")
+    candidates = written(_candidates(spark, d), "candidates")
+    # texts meet the candidates once and go no further
+    pairs = _contexts(spark, d, candidates, "content", "record_role").select("query_id", "id", F.col("record_role").alias("role"), F.col("project").alias("asked_project"), R.phrase_match().alias("phrase"), support.alias("support"), technical.alias("technical"))
+    signals, marks = _signals(spark, d, _live(spark, d)).drop("content"), K.flags(table(spark, d, "memories"), table(spark, d, "edges"))
+    rows = R.weighted(R.lexical(candidates).join(signals, "id").join(marks, "id", "left").join(pairs, ["query_id", "id"]))
     return U.role_gate(rows).select("query_id", "id", "role", "admitted")
 
 
